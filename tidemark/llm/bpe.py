@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,7 +142,7 @@ class Codec(dict):
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
         found = self.whole.get(raw)
-        ids = np.array([found] if found >= 0 else merge(raw, self.ranks), "<u4").tobytes()
+        ids = array("I", [found] if found >= 0 else merge(raw, self.ranks)).tobytes()
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()

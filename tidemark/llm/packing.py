@@ -11,7 +11,9 @@ their length on the executors, and look up their place there.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -64,6 +66,13 @@ def rounds(counts: dict[int, int], capacity: int = LENGTH) -> tuple[list[tuple[i
     return out, opened
 
 
+#: Byte-level spelling: visible Latin-1 characters stand for themselves, other bytes for characters from 256 on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(c not in _SHOWN for c in range(b))) for b in range(256)]
+#: End of the scripts whose letters need no look at normalising rules beyond NFC.
+LATIN = "\u0530"
+
+
 class WordIds(dict):
     """Memo of space-separated chunks of text to their ids, as little-endian uint32.
 
@@ -74,16 +83,20 @@ class WordIds(dict):
     def __init__(self, tokenizer) -> None:  # noqa: ANN001
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
         self.mark = {c: self._whole(c) for c in ",."}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in self.mark and chunk[-2].isalpha():
+        if len(chunk) > 1 and chunk[-1] in self.mark and chunk[-2].isalpha() and len(chunk[-2].lower()) == 1:
             ids = self[chunk[:-1]] + self.mark[chunk[-1]]
         elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
             ids = self[chunk.lower()]
+        elif chunk.isalpha() and max(chunk) < LATIN and chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
+            # one pre-token that normalising leaves as it is: straight to the merges, spelled by bytes
+            ids = array("I", [t.id for t in self.model.tokenize(chunk if chunk.isascii() else "".join(map(BYTES.__getitem__, chunk.encode())))]).tobytes()
         else:
             ids = self._whole(chunk)
         if len(chunk) <= MEMO_LENGTH:
