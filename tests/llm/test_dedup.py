@@ -61,6 +61,7 @@ def shingle_set(text):
 
 @pytest.mark.parametrize("chunk", [2048, 3])
 def test_ngram_join(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "ROWS", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string")
@@ -78,12 +79,12 @@ def test_count_tree_loses_nothing():
     rng = np.random.default_rng(3)
     points = rng.integers(0, 6, (400, ngram_join.GROUPS))
     points[200:] = points[:200] + (rng.random((200, ngram_join.GROUPS)) < 0.05)
-    sizes = points.sum(1)
-    q, e = ngram_join.CountTree(points, sizes).search(points, sizes, 80, lambda q, e: q < e)
+    sizes, group = points.sum(1), rng.integers(0, 3, 400)
+    got = [p for q, e in ngram_join.CountTree(group, points, sizes).search(80, lambda q, e: q < e) for p in zip(q.tolist(), e.tolist(), strict=True)]
     bound = np.minimum(points[:, None], points[None]).sum(2)
     low, high = np.minimum(sizes[:, None], sizes[None]), np.maximum(sizes[:, None], sizes[None])
-    want = np.argwhere((bound >= ngram_join.needed(sizes[:, None], sizes[None], 80)) & (100 * low >= 80 * high) & (np.arange(400)[:, None] < np.arange(400)))
-    assert sorted(zip(q.tolist(), e.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    want = np.argwhere((bound >= ngram_join.needed(sizes[:, None], sizes[None], 80)) & (100 * low >= 80 * high) & (group[:, None] == group) & (np.arange(400)[:, None] < np.arange(400)))
+    assert sorted(got) == sorted(map(tuple, want.tolist())) and got
 
 
 def test_ngram_join_empty(spark):

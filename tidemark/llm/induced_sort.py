@@ -76,9 +76,9 @@ class Queue:
                 block = np.fromfile(self.path, ENTRY, BLOCK, offset=done)
                 done += block.nbytes
             elif self.held:
-                block = self.held.pop(0)
-                self.bytes -= block.nbytes
-                self.pool.used -= block.nbytes
+                block = np.concatenate(self.held)
+                self.pool.used -= self.bytes
+                self.held, self.bytes = [], 0
             else:
                 break
             for a in range(0, len(block), BLOCK):
@@ -274,20 +274,30 @@ class InducedSort:
 
     def _sorted_stars(self) -> np.ndarray:
         """S* suffixes in order: by name, then by what follows, doubling the names compared at each turn."""
-        rank, close = self._names()
-        n, h = len(rank), 1
+        names, close = self._names()
+        n, h = len(names), 1
         own = np.arange(n)
-        while True:
-            follow = rank[np.minimum(own + h, close)]
-            order = np.lexsort((own, follow, rank))
-            new = np.ones(n, bool)
-            new[1:] = (rank[order[1:]] != rank[order[:-1]]) | (follow[order[1:]] != follow[order[:-1]])
-            fresh = np.empty(n, np.int64)
-            fresh[order] = np.cumsum(new) - 1  # the separators are the least, and one group
+        order = np.argsort(names, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = names[order[1:]] != names[order[:-1]]
+        new[: int((names == 0).sum())] = True  # separators are all different
+        rank = np.empty(n, np.int64)  # the place of the first suffix of those not yet told apart
+        rank[order] = np.maximum.accumulate(np.where(new, own, 0))
+        ties = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in order, whole groups together
+        while len(ties) and h <= self.cap:
+            at = order[ties]
+            follow = np.minimum(at + h, close[at])
+            follow = np.where(self.text[self.stars[follow]] == 0, 0, rank[follow] + 1)
+            group = rank[at]
+            turn = np.lexsort((follow, group))
+            at, follow, group = at[turn], follow[turn], group[turn]
+            order[ties] = at
+            new = np.ones(len(at), bool)
+            new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+            rank[at] = np.maximum.accumulate(np.where(new, ties, 0))
+            ties = ties[~(new & np.append(new[1:], True))]
             h *= 2
-            if h > self.cap or (fresh > 0).sum() == fresh.max():
-                return self.stars[order]
-            rank = fresh
+        return self.stars[order]
 
     def _common(self, order: np.ndarray) -> np.ndarray:
         """Common prefixes of neighbours among the S* suffixes, up to the cap, read from the text."""

@@ -30,6 +30,8 @@ from .repeated import repeated, split_heavy
 WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
 #: Shingles that are ordered last for their frequency; documents that a task's tree holds at most.
 FREQUENT, CHUNK = 1 << 16, 2048
+#: Queries that a tree answers at once, and rows that one tree holds at most (but for a last group).
+QUERIES, ROWS = 1 << 10, 20_000
 
 
 def shingles(x: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -47,55 +49,57 @@ def needed(a, b, percent: int):  # noqa: ANN001, ANN201
 
 
 class CountTree:
-    """An R-tree over count vectors, packed bottom-up from the points sorted by size and leading counts.
+    """An R-tree over count vectors, packed bottom-up from the points sorted by group, size and leading counts.
 
-    A node keeps the coordinates' maxima and the least set size below it. Search goes down all levels for all queries at
-    once; a node is left out if the sum of minima with its maxima can't reach the overlap that its least size needs.
+    One tree holds many groups: a point's group is its first coordinate. A node keeps the range of its groups, the
+    coordinates' maxima and the range of set sizes below it. Search goes down all levels for many queries at once; a node is
+    left out if it has no point of the query's group or size, or if the sum of minima with its maxima can't reach the
+    overlap that its least size needs.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
-        self.order = np.lexsort((*points.T[:4], sizes))
-        self.points, self.sizes = points[self.order].astype(np.int64), sizes[self.order]
+    def __init__(self, group: np.ndarray, points: np.ndarray, sizes: np.ndarray) -> None:
+        self.order = np.lexsort((*points.T[:3], sizes, group))
+        self.group, self.points, self.sizes = group[self.order], points[self.order].astype(np.int32), sizes[self.order]
         self.levels = []
-        high, low, top, step = self.points, self.sizes, self.sizes, LEAF
+        first, last, high, low, top, step = self.group, self.group, self.points, self.sizes, self.sizes, LEAF
         while True:
             cut = np.arange(0, len(high), step)
+            first, last = np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)
             high, low, top = np.maximum.reduceat(high, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(top, cut)
-            self.levels.append((high, low, top, step))
+            self.levels.append((first, last, high, low, top, step))
             if len(high) <= FAN:
                 break
             step = FAN
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int, ok) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-        """(query, entry) pairs that the bound lets through; ``ok`` filters pairs at the leaves before the bound."""
-        found_q, found_e = [], []
-        points = points.astype(np.int64)
-        for at in range(0, len(points), 64):
-            q = np.arange(at, min(at + 64, len(points)))
-            high, low, top, _ = self.levels[-1]
-            qs, ns = np.repeat(q, len(high)), np.tile(np.arange(len(high)), len(q))
+    def search(self, percent: int, ok) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: ANN001
+        """(point, point) pairs of a group that the bound lets through; ``ok`` filters pairs before their bound."""
+        group, points, sizes = self.group, self.points, self.sizes
+        for at in range(0, len(points), QUERIES):
+            q = np.arange(at, min(at + QUERIES, len(points)))
+            roots = len(self.levels[-1][0])
+            qs, ns = np.repeat(q, roots), np.tile(np.arange(roots), len(q))
             for level in range(len(self.levels) - 1, -1, -1):
-                high, low, top, step = self.levels[level]
-                fits = (100 * top[ns] >= percent * sizes[qs]) & (100 * sizes[qs] >= percent * low[ns])
+                first, last, high, low, top, step = self.levels[level]
+                fits = (first[ns] <= group[qs]) & (group[qs] <= last[ns]) & (100 * top[ns] >= percent * sizes[qs]) & (100 * sizes[qs] >= percent * low[ns])
                 qs, ns = qs[fits], ns[fits]
                 fits = self._bound(points, high, qs, ns) >= needed(sizes[qs], low[ns], percent)
                 qs, ns = qs[fits], ns[fits]
-                below = len(self.levels[level - 1][0]) if level else len(self.points)
+                below = len(self.levels[level - 1][0]) if level else len(points)
                 child = ns[:, None] * step + np.arange(step)
                 qs, ns = np.repeat(qs, step), child.ravel()
                 qs, ns = qs[ns < below], ns[ns < below]
-            fits = (100 * np.minimum(self.sizes[ns], sizes[qs]) >= percent * np.maximum(self.sizes[ns], sizes[qs])) & ok(qs, self.order[ns])
+            fits = (group[qs] == group[ns]) & (100 * np.minimum(sizes[ns], sizes[qs]) >= percent * np.maximum(sizes[ns], sizes[qs]))
             qs, ns = qs[fits], ns[fits]
-            fits = self._bound(points, self.points, qs, ns) >= needed(sizes[qs], self.sizes[ns], percent)
-            found_q.append(qs[fits])
-            found_e.append(self.order[ns[fits]])
-        return np.concatenate(found_q), np.concatenate(found_e)
+            fits = ok(self.order[qs], self.order[ns])
+            qs, ns = qs[fits], ns[fits]
+            fits = self._bound(points, points, qs, ns) >= needed(sizes[qs], sizes[ns], percent)
+            yield self.order[qs[fits]], self.order[ns[fits]]
 
     @staticmethod
     def _bound(points: np.ndarray, high: np.ndarray, qs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         out = np.empty(len(qs), np.int64)
-        for a in range(0, len(qs), 1 << 14):
-            out[a : a + (1 << 14)] = np.minimum(points[qs[a : a + (1 << 14)]], high[ns[a : a + (1 << 14)]]).sum(1)
+        for a in range(0, len(qs), 1 << 12):
+            out[a : a + (1 << 12)] = np.minimum(points[qs[a : a + (1 << 12)]], high[ns[a : a + (1 << 12)]]).sum(1)
         return out
 
 
@@ -200,20 +204,38 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
     points = sets.select(F.col("doc_id").alias("doc"), "counts")
     owned = shared.join(apart.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     owned = scratch.keep(owned, "owned")
-    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n")).filter("low < high").select("h", "_n")
+    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"), *(F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+    # groups of the same documents (told by 128 bits of a hash of them) are searched once
+    several = several.filter("low < high").groupBy("_n", "x1", "x2").agg(F.min("h").alias("h")).select("h", "_n")
     several = scratch.keep(several, "several")
     rest = owned.join(several.select("h"), "h", "left_semi").join(points, "doc")
     rest = split_heavy(rest, several.filter(F.col("_n") > 2 * CHUNK), ["h"], "doc", CHUNK)
+    rest = rest.select("h", "i", "j", "chunk", "doc", "n", "component", "counts").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
-    def search(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        doc, size, component, chunk = (group.column(c).to_numpy() for c in ("doc", "n", "component", "chunk"))
-        points = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        tree = CountTree(points, size)
-        q, e = tree.search(points, size, percent, lambda q, e: (doc[q] < doc[e]) & (component[q] != component[e]) & ((chunk[q] != chunk[e]) | (i == j)))
-        return pa.table({"a": pa.array(doc[e], pa.int64()), "b": pa.array(doc[q], pa.int64())})
-
-    late = rest.groupBy("h", "i", "j").applyInArrow(search, "a long, b long").distinct()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, in trees of about ROWS rows."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                key = [rows.column(c).to_numpy() for c in ("h", "i", "j")]
+                new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+                if len(new):
+                    yield from pairs_of(rows.slice(0, new[-1]))
+                    rows = rows.slice(new[-1])
+                held = rows.to_batches()
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, i, j, chunk, doc, size, component = (rows.column(c).to_numpy() for c in ("h", "i", "j", "chunk", "doc", "n", "component"))
+        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
+        group = np.cumsum(np.concatenate(([0], np.any([k[1:] != k[:-1] for k in (h, i, j)], axis=0))))
+        for q, e in CountTree(group, points, size).search(percent, lambda q, e: (doc[q] < doc[e]) & (component[q] != component[e]) & ((chunk[q] != chunk[e]) | (i[q] == j[q]))):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[e]), pa.array(doc[q])], ["a", "b"])
+
+    late = rest.mapInArrow(search, "a long, b long").distinct()
     late = scratch.keep(late.join(pairs, ["a", "b"], "left_anti"), "late")
     more = scratch.keep(_verify(texts, late, words, percent), "more")
     tree = components(scratch, links.unionByName(more), "second")

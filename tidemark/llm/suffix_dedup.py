@@ -11,8 +11,8 @@ single strings first, so that equal ones fall together before any sort.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +87,6 @@ def _lists(column: pa.Array) -> Iterator[list[np.ndarray]]:
         yield [f[a:b] for f in fields]
 
 
-def _digest(part: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(part, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _hash_parts(docs: DataFrame, wanted: DataFrame, length: int, single: bool) -> DataFrame:
     """h, f1, f2 (the content's 128-bit hash), doc and aux of the fragments ``wanted`` (doc, h, aux), or of each of their
     strings by itself."""
@@ -100,15 +95,20 @@ def _hash_parts(docs: DataFrame, wanted: DataFrame, length: int, single: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            digests, keys, docs_, spans = [], [], [], []
             for doc, x, (h, aux) in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), _lists(batch.column(2)), strict=True):
-                text = x.tobytes()
-                for key, a in zip(h.tolist(), aux.tolist(), strict=True):
-                    start, count = a >> 20, a & 0xFFFFF
-                    for s, n in ((start + i, 1) for i in range(count)) if single else ((start, count),):
-                        for to, value in zip(out, (key, *_digest(text[s : s + n + length - 1]), doc, s << 20 | n), strict=True):
-                            to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["h", "f1", "f2", "doc", "aux"])
+                text, start, count = x.tobytes(), aux >> 20, aux & 0xFFFFF
+                if single:
+                    h, start = np.repeat(h, count), np.concatenate([np.arange(s, s + n) for s, n in zip(start, count, strict=True)])
+                    count = np.ones(len(h), np.int64)
+                digests += [blake2b(text[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)]
+                keys.append(h)
+                docs_.append(np.full(len(h), doc, np.int64))
+                spans.append(_pack(start, count))
+            if digests:
+                f = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                key, doc_, span = (np.concatenate(c) for c in (keys, docs_, spans))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, f[:, 0].copy(), f[:, 1].copy(), doc_, span)], ["h", "f1", "f2", "doc", "aux"])
 
     return both.mapInArrow(run, "h long, f1 long, f2 long, doc long, aux long")
 
@@ -176,8 +176,17 @@ def _sort_shards(docs: DataFrame, wanted: DataFrame, n_shards: int, length: int)
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc and aux (first start << 20 | number of starts) of all strings of ``length`` bytes that also start earlier."""
+    """doc and aux (first start << 20 | number of starts) of all strings of ``length`` bytes that also start earlier.
+
+    Texts that equal an earlier document's are repeated as a whole, and are set aside first.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    told = scratch.keep(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sha")), "told")
+    first = scratch.keep(told.groupBy("sha").agg(F.min("doc_id").alias("first")), "first")
+    copies = told.join(first, "sha").filter((F.col("doc_id") > F.col("first")) & (F.col("n") >= length))
+    copies = copies.select(F.col("doc_id").alias("doc"), "n", F.explode(F.sequence(F.lit(0), F.col("n") - length, F.lit(STRETCH))).alias("s"))
+    copies = copies.select("doc", F.shiftleft(F.col("s").cast("long"), 20).bitwiseOR(F.least(F.col("n") - length + 1 - F.col("s"), F.lit(STRETCH)).cast("long")).alias("aux"))
+    docs = scratch.keep(docs.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "distinct")
     width = length - length // 2 + 1
 
     def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -197,8 +206,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     mixed = scratch.keep(firsts.join(mixed, "h").select("h", "doc", "aux", "k"), "mixed")
     plain, hot = mixed.filter(F.col("k") <= HOT), mixed.filter(F.col("k") > HOT)
     size = plain.agg(F.sum(F.col("aux").bitwiseAND(0xFFFFF) + length)).first()[0] or 0
-    n_shards = max(4 * partitions(spark), size // SHARD + 1)
-    found = _later(parts, firsts).unionByName(_sort_shards(docs, plain, n_shards, length))
+    n_shards = max(partitions(spark), size // SHARD + 1)
+    found = copies.unionByName(_later(parts, firsts)).unionByName(_sort_shards(docs, plain, n_shards, length))
     if not hot.isEmpty():
         strings = scratch.keep(_hash_parts(docs, hot, length, True), "strings")
         found = found.unionByName(_later(strings, _firsts(strings)))
