@@ -1,0 +1 @@
+"""Registered queries of the engine and their SQL."""

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,3 +28,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("tidemark", os.path.relpath(full, root)))
     context.addPyFile(path)
     context._tidemark_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder of spark.checkpoint.dir (one of our own where that is unset), with
+    its partitions and their order."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not getattr(spark.sparkContext, "_tidemark_checkpoints", None):
+        spark.sparkContext._tidemark_checkpoints = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(spark.sparkContext._tidemark_checkpoints)
+    return df.checkpoint()

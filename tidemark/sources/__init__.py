@@ -1,0 +1 @@
+"""Sources and sinks for the binary interchange formats."""

@@ -1,0 +1 @@
+"""Continuous ingest and continuously kept state."""
