@@ -70,7 +70,7 @@ def test_crash_keeps_the_log(spark, tmp_path):
     run = again._publish(log)
     again.manifest.levels[0].append(run)
     again.manifest.flushed = 2
-    again._save()
+    again._save(again.manifest)
     third = Table.open(spark, path)
     assert third.log().count() == 3 and third.get(b"a") == b"accepted"
 

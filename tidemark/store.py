@@ -13,7 +13,7 @@ One writer a table; readers are free.
 from __future__ import annotations
 
 import json
-import uuid
+from copy import deepcopy
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,11 +155,11 @@ class Table:
         self._check()
         names = self.files.names("wal")
         if names:
-            run = self._publish(ops.dedupe_replay(self._wal()))
+            run, new = self._publish(ops.dedupe_replay(self._wal())), deepcopy(self.manifest)
             if run:
-                self.manifest.levels[0].append(run)
-            self.manifest.flushed = int(names[-1]) + 1
-            self._save()
+                new.levels[0].append(run)
+            new.flushed = int(names[-1]) + 1
+            self._save(new)
             for name in names:
                 self.files.delete(f"wal/{name}")
             if len(self.manifest.levels[0]) >= COMPACT_AT:
@@ -173,11 +173,12 @@ class Table:
         self.flush()
         rows = batch.withColumn("value", F.when(F.col("op") == 0, F.lit(b"")).otherwise(F.col("value")))
         run = self._publish(ops.as_log(ops.assign_seq(rows, order, self.manifest.next_seq)))
+        new = deepcopy(self.manifest)
         if run:
-            self.manifest.levels[0].append(run)
-            self.manifest.next_seq = max(self.manifest.next_seq, run.max_seq + 1)
-        self.manifest.batches[stream] = batch_id
-        self._save()
+            new.levels[0].append(run)
+            new.next_seq = max(new.next_seq, run.max_seq + 1)
+        new.batches[stream] = batch_id
+        self._save(new)
         if len(self.manifest.levels[0]) >= COMPACT_AT:
             self.compact()
 
@@ -187,12 +188,14 @@ class Table:
         runs = self._runs()
         if runs:
             live = ops.latest(self._read(runs)).filter("op = 1")
-            run = self._publish(live)
-            self.manifest.levels = [[], [run] if run else [], *([] for _ in range(LEVELS - 2))]
-            self._save()
+            run, new = self._publish(live), deepcopy(self.manifest)
+            new.levels = [[], [run] if run else [], *([] for _ in range(LEVELS - 2))]
+            self._save(new)
 
     def _publish(self, rows: DataFrame) -> Run | None:
-        sst_id, self.manifest.next_id = self.manifest.next_id, self.manifest.next_id + 1
+        # a run that was written but never named by a manifest keeps its folder until vacuum
+        sst_id = max([self.manifest.next_id, *(int(n) + 1 for n in self.files.names("runs"))])
+        self.manifest.next_id = sst_id + 1
         path = f"{self.path}/runs/{sst_id:06d}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows.repartitionByRange(n, "key").sortWithinPartitions("key", F.desc("seq")).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
@@ -202,8 +205,10 @@ class Table:
             return None
         return Run(sst_id, about.n, bytes(about.low).hex(), bytes(about.high).hex(), about.seq)
 
-    def _save(self) -> None:
-        self.files.replace("MANIFEST", json.dumps(asdict(self.manifest)))
+    def _save(self, new: Manifest) -> None:
+        """The new manifest counts once it has replaced the old one on disk."""
+        self.files.replace("MANIFEST", json.dumps(asdict(new)))
+        self.manifest = new
 
     def vacuum(self) -> list[str]:
         """Delete runs that the manifest no longer names. Only for when no reader still holds an older DataFrame."""
@@ -218,7 +223,7 @@ class Table:
         """Flush and refuse everything after; again: nothing. A close that fails leaves the log and can be retried."""
         if not self.closed:
             self.flush()
-            self._save()
+            self._save(self.manifest)
             self.closed = True
 
     # reads
