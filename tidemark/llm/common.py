@@ -55,7 +55,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         release(self.spark)
         return self.spark.read.parquet(path)
 
