@@ -2,7 +2,7 @@
 
 A document is its set of distinct word shingles. Any two sets that reach the similarity share a shingle among each
 one's first few under a common order (rare shingles first), so the documents that share such a shingle form a group, and
-every link lies in some group. In a group the documents' count vectors (shingles hashed into 64 groups, counted) are
+every link lies in some group. In a group the documents' count vectors (shingles hashed into 256 groups, counted) are
 points of an R-tree: the overlap of two sets is at most the sum of their coordinate minima, and so of a point and
 a node's upper corner. Pairs that the bound lets through are verified on the whole texts.
 
@@ -27,9 +27,11 @@ from .components import components
 from .repeated import repeated, split_heavy
 
 #: Words of a shingle, groups of the count vectors, and entries of a leaf and of an inner node.
-WORDS, GROUPS, LEAF, FAN = 5, 64, 16, 8
+WORDS, GROUPS, LEAF, FAN = 5, 256, 16, 8
 #: Shingles that are ordered last for their frequency; documents that a task's tree holds at most.
-FREQUENT, CHUNK = 1 << 16, 2048
+FREQUENT, CHUNK = 1 << 17, 2048
+#: Shingles of a run in which frequent ones are counted.
+RUN = 1 << 22
 #: Queries that a tree answers at once, and rows that one tree holds at most (but for a last group).
 QUERIES, ROWS = 1 << 10, 20_000
 
@@ -108,25 +110,27 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     a run of rows have, and how many (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[bytes, np.ndarray] = {}  # equal sets count once
         n = 0
 
         def frequent() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            few = count > 2
-            key, count = key[few].view(np.int64), count[few]
+            key, count = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            several = count > 1
+            key, count = key[several].view(np.int64), count[several]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(count), pa.nulls(len(key), pa.binary()), pa.nulls(len(key), pa.binary())], names)
 
         names = ["kind", "doc_id", "n", "digest", "counts"]
         for batch in batches:
             sets = [shingles(x, words) for x in blobs(batch.column(1))]
-            out = [[0] * len(sets), batch.column(0).to_pylist(), [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [count_vector(s).tobytes() for s in sets]]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            out = [[0] * len(sets), batch.column(0).to_pylist(), [len(s) for s in sets], digests, [count_vector(s).tobytes() for s in sets]]
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
-            held += sets
-            n += sum(map(len, sets))
-            if n > 1 << 21:
+            for digest, s in zip(digests, sets, strict=True):
+                n += 0 if digest in held else len(s)
+                held[digest] = s
+            if n > RUN:
                 yield frequent()
-                held, n = [], 0
+                held, n = {}, 0
         if n:
             yield frequent()
 

@@ -14,30 +14,20 @@ link AS (SELECT s.vec_id AS a, t.vec_id AS b FROM sound s JOIN sound t ON s.labe
 {_COMPONENTS}
 SELECT id AS vec_id, (SELECT count(*) FROM link WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM component"""
 
-OP4 = """WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-start AS (SELECT doc_id, s, h, length(h) // 2 AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS s FROM hexed)),
-part AS (SELECT doc_id, s, md5(substr(h, CAST(2 * s + 1 AS INT), 200)) AS f FROM start WHERE s + 100 <= n),
-late AS (SELECT doc_id, s FROM part QUALIFY row_number() OVER (PARTITION BY f ORDER BY doc_id, s) > 1),
-byte AS (SELECT start.doc_id, start.s, substr(h, CAST(2 * start.s + 1 AS INT), 2) AS b, max(CASE WHEN late.s IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY start.doc_id ORDER BY start.s ROWS 99 PRECEDING) AS gone FROM start LEFT JOIN late ON late.doc_id = start.doc_id AND late.s = start.s),
-seen AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), 0) AS was FROM byte),
-done AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, coalesce(string_agg(b, '' ORDER BY s) FILTER (gone = 0), '') AS kept FROM seen GROUP BY doc_id)
-SELECT hexed.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM hexed LEFT JOIN done USING (doc_id)"""
-
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 
 OP10 = f"""WITH RECURSIVE node AS (SELECT doc_id AS id FROM documents),
 word AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 shingle AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM word WHERE len(w) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-both AS (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS k FROM shingle s JOIN shingle t ON s.s = t.s AND s.doc_id <> t.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+pair AS (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS k FROM shingle s JOIN shingle t ON s.s = t.s AND s.doc_id <> t.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 {_COMPONENTS}
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM component LEFT JOIN size ON doc_id = id"""
 
 
 def op8(rules: quality.Rules = quality.Rules()) -> str:
-    """The quality verdict; its distances are sums in another order, so that their last digits may differ: they are
-    left out of comparison by rounding in neither, since none lies at a limit."""
+    """The quality verdict. The distances may differ in their last digits, which matters only exactly at a limit."""
     words = quality.WORDS
     common = ", ".join(f"len(list_filter(w, lambda x: x IN ('{c}', '{c.capitalize()}', '{c.upper()}')))" for c in words)
     langs = ", ".join(f"'{x}'" for x in rules.languages)

@@ -145,5 +145,5 @@ def filter_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every row of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(docs, texts=False).select("doc_id", *(F.col(f"_{n}").alias(n) for n in names))
