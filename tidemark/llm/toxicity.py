@@ -20,7 +20,7 @@ from .langid import fold
 
 #: Hash buckets, embedding size, and labelled rows of each class that training may use.
 BUCKETS, SIZE, SAMPLE = 1 << 15, 12, 3000
-EPOCHS, BATCH, RATE = 14, 64, 0.05
+EPOCHS, STEPS, BATCH, RATE = 14, 600, 64, 0.05
 SHARPNESS = 100.0
 SALT = np.arange(8, dtype=np.uint64) * FAR
 
@@ -66,8 +66,9 @@ def fit(rows: list[tuple[int, bytes, bytes]], seed: int = 7) -> Model:
     table_, layer, bias = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_t, seen_l, seen_b = np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     dense = np.zeros((BATCH, BUCKETS), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(rows)))  # few rows: at least STEPS steps
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
