@@ -12,6 +12,7 @@ single strings first, so that equal ones fall together before any sort.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -207,11 +208,17 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     plain, hot = mixed.filter(F.col("k") <= HOT), mixed.filter(F.col("k") > HOT)
     size = plain.agg(F.sum(F.col("aux").bitwiseAND(0xFFFFF) + length)).first()[0] or 0
     n_shards = max(partitions(spark), size // SHARD + 1)
-    found = copies.unionByName(_later(parts, firsts)).unionByName(_sort_shards(docs, plain, n_shards, length))
+    # one after the other, so that the shuffles of one are gone before the next
+    scratch.drop("shared")
+    found = [scratch.keep(copies.unionByName(_later(parts, firsts)), "later")]
+    scratch.drop("told", "first", "parts", "firsts")
+    found.append(scratch.keep(_sort_shards(docs, plain, n_shards, length), "sorted"))
     if not hot.isEmpty():
         strings = scratch.keep(_hash_parts(docs, hot, length, True), "strings")
-        found = found.unionByName(_later(strings, _firsts(strings)))
-    return scratch.keep(found, "found")
+        found.append(scratch.keep(_later(strings, _firsts(strings)), "cut"))
+        scratch.drop("strings")
+    scratch.drop("distinct", "mixed")
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
