@@ -191,8 +191,17 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     told = scratch.keep(_describe(docs, words), "told")
     sets = told.filter("kind = 0").select("doc_id", "n", "digest", "counts")
-    frequent = told.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc_id").limit(FREQUENT)
-    last = np.sort(np.array([r["doc_id"] for r in frequent.collect()], np.int64).view(np.uint64))  # FREQUENT numbers at most
+    counted = scratch.keep(told.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")), "counted")
+    # eight classes of counts to an octave; the highest that hold FREQUENT shingles at most together
+    level = F.floor(F.log2("n") * 8).cast("int")
+    taken, least = 0, None
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        taken += r["count"]
+        if taken > FREQUENT:
+            break
+        least = r["level"]
+    frequent = counted.filter(level >= least).select("doc_id").collect() if least is not None else []  # FREQUENT rows at most
+    last = np.sort(np.array([r["doc_id"] for r in frequent], np.int64).view(np.uint64))
     reps = scratch.keep(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
 
     shared = repeated(docs, _prefixes(last, words, percent)).select(F.col("key").alias("h"), F.col("id").alias("doc"), F.col("aux").alias("n"))
