@@ -252,6 +252,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
     late = scratch.keep(late.join(pairs, ["a", "b"], "left_anti"), "late")
     more = scratch.keep(_verify(texts, late, words, percent), "more")
     tree = components(scratch, links.unionByName(more), "second")
+    scratch.drop("counted", "shared", "pairs", "texts", "links", "owned", "several", "late", "more")  # all read by now
 
     classes_ = reps.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     done = sets.join(classes_, "digest", "left")
