@@ -117,6 +117,30 @@ def test_suffix_dedup(spark, monkeypatch, hot, length):
     assert out.columns == df.columns and out.count() == len(rows)
 
 
+def test_suffix_dedup_short_periods(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choices("bcdfghjklmnpqrstvwxyz ", k=n))
+    texts = []
+    for n in range(101, 151):
+        unit = "".join(rng.choices("AEIOU-=", k=rng.randint(1, 7)))
+        texts.append(line(rng.randint(60, 90)) + (unit * n)[:n] + line(rng.randint(60, 90)))
+        texts.append(line(70) + texts[-1][20:-20] + line(70))
+    texts += [line(80) + "-" * 120 + line(80), line(80) + "ha ha " * 21 + line(80), line(80) + "Heer " * 23 + line(80)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r._cut[:3]) + (hashlib.sha256(r._cut.kept).hexdigest(),) for r in suffix_dedup.remove_repeated(df).collect()}
+    assert got == cut(rows, 100)
+
+
+def test_fragments_that_repeat_themselves():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x = np.concatenate([np.tile(rng.integers(97, 123, rng.integers(1, 60)).astype(np.uint8), rng.integers(1, 30))[: rng.integers(1, 300)] for _ in range(4)])
+        for start, count, again in zip(*suffix_dedup.fragments(x)[1:], strict=True):
+            own = [x[s : s + 100].tobytes() for s in range(start, start + count)]
+            assert again or len(set(own)) == len(own)
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

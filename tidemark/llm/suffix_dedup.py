@@ -2,7 +2,8 @@
 
 The strings of ``length`` bytes are dealt into shards by content: each goes by the least hash among the (length / 2)-byte
 grams inside it, so that equal strings meet. Neighbouring strings of a document with the same least hash form a fragment;
-fragments whose hash occurs once in the corpus hold nothing repeated and are left out. Equal fragments enter the suffix
+fragments whose hash occurs once in the corpus, and its gram once in the fragment, hold nothing repeated and are left
+out. Equal fragments enter the suffix
 array once: all but the first are repeated as a whole. The distinct fragments under a shared hash are sorted by
 external induced sorting (see induced_sort), with common prefixes: neighbours with a common prefix of ``length`` bytes
 hold equal strings, of which the first in the corpus stays. A hash with very many distinct fragments is cut to
@@ -27,6 +28,8 @@ from .repeated import repeated
 LENGTH = 100
 #: Strings that are hashed at once; distinct fragments of a hash that are sorted together at most; bytes of a shard.
 STRETCH, HOT, SHARD = 1 << 16, 4096, 4 << 20
+#: In aux, on the way to ``shared`` only: a fragment that may repeat a string by itself.
+AGAIN = 1 << 19
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -52,26 +55,43 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
 
-def fragments(x: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first start and number of starts of each run of strings of x with the same least gram hash."""
-    keys, starts, counts = [], [], []
+def _slide(h: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or largest of each ``width`` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        h = pick(h[:-size], h[size:])
+        size *= 2
+    return pick(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
+
+
+def fragments(x: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first start and number of starts of each run of strings of x with the same least gram hash, and whether the
+    run may repeat a string by itself.
+
+    Two equal strings of a run hold the least gram at two places of it. Grams that are least in some string stand next to
+    each other there: no string has room for another one between the two places.
+    """
+    keys, starts, counts, agains = [], [], [], []
     n, k = len(x) - length + 1, length // 2
     width = length - k + 1
     for a in range(0, n, STRETCH):
         part = x[a : min(a + STRETCH, n) + length - 1]
-        h, size = _grams(part, k), 1
-        while size * 2 <= width:
-            h = np.minimum(h[:-size], h[size:])
-            size *= 2
-        if size < width:
-            h = np.minimum(h[: len(h) - (width - size)], h[width - size :])
+        g = _grams(part, k)
+        h = _slide(g, width, np.minimum)
         cut = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+        count = np.diff(np.append(cut, len(h)))
+        # no hash is below the least one of a string around it, so a gram is least somewhere if the largest of those is its own
+        edge = np.zeros(width - 1, np.uint64)
+        least = np.flatnonzero(_slide(np.concatenate((edge, h, edge)), width, np.maximum) == g)
+        pairs = np.concatenate(([0], np.cumsum(g[least[1:]] == g[least[:-1]])))
+        first, last = np.searchsorted(least, cut), np.searchsorted(least, cut + count + width - 1) - 1
         keys.append(h[cut])
         starts.append(cut + a)
-        counts.append(np.diff(np.append(cut, len(h))))
+        counts.append(count)
+        agains.append(pairs[last] > pairs[first])
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(counts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(keys), np.concatenate(starts), np.concatenate(counts), np.concatenate(agains)
 
 
 def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -188,22 +208,21 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("doc"), "n", F.explode(F.sequence(F.lit(0), F.col("n") - length, F.lit(STRETCH))).alias("s"))
     copies = copies.select("doc", F.shiftleft(F.col("s").cast("long"), 20).bitwiseOR(F.least(F.col("n") - length + 1 - F.col("s"), F.lit(STRETCH)).cast("long")).alias("aux"))
     docs = scratch.keep(docs.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"), "distinct")
-    width = length - length // 2 + 1
 
     def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for doc, x in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
-            key, start, count = fragments(x, length)
-            # a run longer than a window has room for may repeat a string by itself: it counts as repeated
-            twice = np.repeat(np.arange(len(key)), np.where(count > width, 2, 1))
-            key, start, count = key[twice], start[twice], count[twice]
-            yield key, np.full(len(key), doc, np.int64), _pack(start, count)
+            key, start, count, again = fragments(x, length)
+            # a run that may repeat a string by itself counts as repeated
+            twice = np.repeat(np.arange(len(key)), np.where(again, 2, 1))
+            yield key[twice], np.full(len(twice), doc, np.int64), _pack(start, count | np.where(again, AGAIN, 0))[twice]
 
-    shared = repeated(docs, entries).select(F.col("key").alias("h"), F.col("id").alias("doc"), "aux")
+    shared = repeated(docs, entries).select(F.col("key").alias("h"), F.col("id").alias("doc"), F.col("aux").bitwiseAND(~AGAIN).alias("aux"), (F.col("aux").bitwiseAND(AGAIN) > 0).alias("again"))
     shared = scratch.keep(shared, "shared")
+    again = scratch.keep(shared.filter("again").select("h", "again").distinct(), "again")
     parts = scratch.keep(_hash_parts(docs, shared, length, False), "parts")
     firsts = scratch.keep(_firsts(parts), "firsts")
-    # fragments with a hash that others share; a long run of one hash (periodic text) may repeat a string by itself
-    mixed = firsts.groupBy("h").agg(F.count("*").alias("k"), F.max(F.col("aux").bitwiseAND(0xFFFFF)).alias("most")).filter((F.col("k") > 1) | (F.col("most") > width))
+    # fragments with a hash that others share, and those that may repeat a string by themselves (periodic text)
+    mixed = firsts.groupBy("h").agg(F.count("*").alias("k")).join(again, "h", "left").filter((F.col("k") > 1) | F.col("again")).select("h", "k")
     mixed = scratch.keep(firsts.join(mixed, "h").select("h", "doc", "aux", "k"), "mixed")
     plain, hot = mixed.filter(F.col("k") <= HOT), mixed.filter(F.col("k") > HOT)
     size = plain.agg(F.sum(F.col("aux").bitwiseAND(0xFFFFF) + length)).first()[0] or 0
@@ -217,7 +236,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         strings = scratch.keep(_hash_parts(docs, hot, length, True), "strings")
         found.append(scratch.keep(_later(strings, _firsts(strings)), "cut"))
         scratch.drop("strings")
-    scratch.drop("distinct", "mixed")
+    scratch.drop("distinct", "mixed", "again")
     return reduce(DataFrame.unionByName, found)
 
 
