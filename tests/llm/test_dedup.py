@@ -87,6 +87,25 @@ def test_count_tree_loses_nothing():
     assert sorted(got) == sorted(map(tuple, want.tolist())) and got
 
 
+def test_ngram_join_repeated_rows(spark):
+    rng, rows = random.Random(11), []
+    for k in range(20):  # two linked texts that share one shingle of their prefixes, with a smaller document apart from both
+        words = ["".join(rng.choices("bcdfghjk", k=8)) for _ in range(9)]
+        short = words[:8]
+        least = ngram_join.shingles(np.frombuffer(" ".join(short).encode(), np.uint8))[0]
+        alone = next(" ".join(short[i : i + 5]) for i in range(4) if ngram_join.shingles(np.frombuffer(" ".join(short[i : i + 5]).encode(), np.uint8))[0] == least)
+        rows += [(3 * k, alone), (3 * k + 1, " ".join(words)), (3 * k + 2, " ".join(short))]
+    want = sorted([(3 * k + d, n, 3 * k + (d > 0)) for k in range(20) for d, n in enumerate((1, 5, 4))] * 2)
+    odd = [(None, rows[1][1]), (None, None)]
+    df = spark.createDataFrame(rows * 2 + odd, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.classes(df).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want
+    assert [r for r in got if r[0] is None] == [(None, 0, None)] * 2
+    kept = [tuple(r) for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(r for r in kept if r[0] is not None) == sorted([r for r in rows if r[0] % 3 < 2] * 2)
+    assert sorted(map(str, (r for r in kept if r[0] is None))) == sorted(map(str, odd))
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

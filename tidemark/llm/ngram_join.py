@@ -184,11 +184,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs`` (doc_id, text).
 
     A null, empty or blank text has an empty set and links with nothing. A text with fewer words than a shingle is one
-    shingle. Rows with equal sets link. An empty table gives an empty result.
+    shingle. Rows with equal sets link. A null doc_id links with nothing: its row has no shingle and a null component_id.
+    Repeated rows have the same result. An empty table gives an empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.filter(F.col("doc_id").isNotNull())
     told = scratch.keep(_describe(docs, words), "told")
     sets = told.filter("kind = 0").select("doc_id", "n", "digest", "counts")
     counted = scratch.keep(told.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")), "counted")
@@ -217,9 +220,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
     points = sets.select(F.col("doc_id").alias("doc"), "counts")
     owned = shared.join(apart.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     owned = scratch.keep(owned, "owned")
-    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"), *(F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
-    # groups of the same documents (told by 128 bits of a hash of them) are searched once
-    several = several.filter("low < high").groupBy("_n", "x1", "x2").agg(F.min("h").alias("h")).select("h", "_n")
+    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"), *(F.sum(F.shiftrightunsigned(F.xxhash64("doc", F.lit(k)), 32)).alias(f"x{k}") for k in (1, 2, 3, 4)))
+    # groups of the same documents (told by 128 bits of a hash of them, as sums: repeated rows would cancel in an xor) are searched once
+    several = several.filter("low < high").groupBy("_n", "x1", "x2", "x3", "x4").agg(F.min("h").alias("h")).select("h", "_n")
     several = scratch.keep(several, "several")
     rest = owned.join(several.select("h"), "h", "left_semi").join(points, "doc")
     rest = split_heavy(rest, several.filter(F.col("_n") > 2 * CHUNK), ["h"], "doc", CHUNK)
@@ -256,13 +259,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
 
     classes_ = reps.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     done = sets.join(classes_, "digest", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    done = done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return done.unionByName(nameless)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, with all columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its class, or null, with all columns."""
     kept = classes(docs.select("doc_id", "text"), words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
