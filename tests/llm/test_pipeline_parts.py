@@ -48,6 +48,18 @@ def test_surrogates_are_distinct():
     assert len({make.credential(f"{i:08x}") for i in range(300)} | {make.credential(f"zz{i:06d}") for i in range(300)}) == 600
 
 
+def test_long_secrets_leave_nothing():
+    make, rng = pii.Surrogates(b"k"), random.Random(12)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    plain, hexa = "bcdfgBCDFG0123456789", "0123456789abcdef"
+    for head, value in [("token=", draw(plain, 129)), ("token=", draw(plain, 5000)), ("secret: ", draw(hexa, 700)), ("api_key=", "-".join(draw(plain, 70) for _ in range(4))), *((h, draw(plain, 65)) for h in ("sk-", "ghp_", "gho_", "sk_live_"))]:
+        new, found = pii.replace(f"a {head}{value} b", make)
+        assert len(found) == 1 and new.startswith(f"a {head}") and new.endswith(" b") and len(new) == len(f"a {head}{value} b")
+        assert not any(value[i : i + 12] in new for i in range(len(value) - 11))
+        # a change anywhere gives another surrogate
+        assert len({make.credential(value[:i] + c + value[i + 1 :]) for i in (0, len(value) // 2, len(value) - 1) for c in "123"}) >= 7
+
+
 def test_pii_frame(spark):
     texts = [*ODD, "to a@b.example.com and A@B.example.com", "again a@b.example.com.", "c@b.example.com 1.2.3.4"]
     done = pii.anonymise(docs(spark, texts), b"k")

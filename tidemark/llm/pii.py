@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -43,8 +44,8 @@ _FAMILY = f"[{_UPPER}][{_LOWER}]{{1,30}}"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|gho_|sk_live_|sk-)[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
-    "credential": r"(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)[\"']?\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9+/_.~-]{7,127}[A-Za-z0-9+/])(?![A-Za-z0-9+/])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:ghp_|gho_|sk_live_|sk-)[A-Za-z0-9]{16,}(?![A-Za-z0-9])",
+    "credential": r"(?<!\w)(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|secret[_-]?key)[\"']?\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9+/_.~-]{7,}[A-Za-z0-9+/])(?![A-Za-z0-9+/])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -53,6 +54,9 @@ _PATTERNS = {
 }
 FIND = re.compile("|".join(f"(?P<{kind}>{pattern.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)')})" for kind, pattern in _PATTERNS.items()))
 
+#: Characters that one permutation covers: both halves of its network then fit into a hash.
+BLOCK = 100
+
 
 class Surrogates:
     """Keyed surrogates of entities. ``key`` is a secret; another key gives unrelated surrogates."""
@@ -72,9 +76,7 @@ class Surrogates:
         """A keyed permutation of 0 to size - 1: a Feistel network over a x b >= size, walked on until inside."""
         if size < 2:
             return value
-        b = int(size**0.5)
-        while b * b < size:
-            b += 1
+        b = math.isqrt(size - 1) + 1
         a = -(-size // b)
         while True:
             left, right = divmod(value, b)
@@ -85,8 +87,22 @@ class Surrogates:
             if value < size:
                 return value
 
+    @staticmethod
+    def blocks(salt: str, text: str, one: Callable[[object, str], str]) -> str:
+        """``one`` on each block of a text: the salt of a later block holds all that stands before it, so that different
+        texts stay different."""
+        out, before = [], hashlib.sha256()
+        for a in range(0, len(text), BLOCK):
+            part = text[a : a + BLOCK]
+            out.append(one((salt, before.hexdigest()) if a else salt, part))
+            before.update(part.encode())
+        return "".join(out)
+
     def spell(self, salt: str, text: str) -> str:
         """A keyed permutation of all texts with the same classes of letters and digits at the same places."""
+        return self.blocks(salt, text, self._spell)
+
+    def _spell(self, salt: object, text: str) -> str:
         classes = [_CLASS.get(c) for c in text]
         shape = "".join(c if k is None else chr(0xE000 + k[0]) for c, k in zip(text, classes, strict=True))
         size, value = 1, 0
@@ -139,7 +155,7 @@ class Surrogates:
     def credential(self, text: str) -> str:
         """A value in hexadecimal digits stays one."""
         if re.fullmatch("[0-9a-f]+", text):
-            return f"{self.number('hex', int(text, 16), 16 ** len(text)):0{len(text)}x}"
+            return self.blocks("hex", text, lambda salt, part: f"{self.number(salt, int(part, 16), 16 ** len(part)):0{len(part)}x}")
         while True:  # walk on: other values never turn into hexadecimal ones
             text = self.spell("credential", text)
             if not re.fullmatch("[0-9a-f]+", text):
