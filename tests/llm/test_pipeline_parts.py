@@ -92,6 +92,17 @@ def test_language_id(spark):
     assert langid.predict(df, langid.train(empty(spark))).filter("lang_pred != 'und'").count() == 0
 
 
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(langid.LANGUAGES + 6):
+        vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)]
+        rows += [(" ".join(rng.choices(vocab, k=20)), f"x{k:02d}") for _ in range(6)]
+    df = docs(spark, *zip(*rows, strict=True))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.train(df.select("doc_id", "text", "lang"))).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(rows)}
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     plain = ["quiet", "river", "stone", "walks", "under", "morning", "light"]

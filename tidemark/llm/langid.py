@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import FAR, STEP, mix, table, tune
 
-#: Hash buckets of the n-grams; labelled rows a language that training may use; most languages; centroids each.
+#: Hash buckets of the n-grams; labelled rows a language that training may use; languages beyond which that share
+#: shrinks; centroids each.
 DIMS, SAMPLE, LANGUAGES, CENTROIDS = 1 << 13, 1500, 64, 4
 #: The share of a centroid's training documents that its rejection distance leaves outside.
 OUTSIDE = 0.002
@@ -109,20 +110,19 @@ def fit(rows: list[tuple[str, bytes, bytes]]) -> Model:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows (doc_id, text, lang) of each of the ``LANGUAGES`` most frequent languages, picked
-    by a hash of doc_id. Executors count the n-grams; the driver gets a bounded number of bounded vectors."""
+    """Fit on at most ``sample`` rows (doc_id, text, lang) of each language, picked by a hash of doc_id; beyond
+    ``LANGUAGES`` languages the share of each shrinks, so that all together stay as many. Executors count the n-grams; the driver gets a bounded number of bounded vectors."""
     from pyspark.sql.window import Window
 
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
     # twice the share wanted, by hash and without a shuffle of the rest; then the first of each language
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r["lang"], 2.0 * sample / r["count"] + 20 / r["count"]).otherwise(chance)
+    sample = max(CENTROIDS, sample * LANGUAGES // max(LANGUAGES, len(sizes)))
+    chances = rows.sparkSession.createDataFrame([(r["lang"], (2.0 * sample + 20) / r["count"]) for r in sizes], "lang string, _chance double")
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("_place", place).filter(F.col("_place") < chance)
+    picked = rows.join(F.broadcast(chances), "lang").withColumn("_place", place).filter(F.col("_place") < F.col("_chance"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id"))
     picked = picked.withColumn("_n", first).filter(F.col("_n") <= sample).select("lang", "text")
 
@@ -141,7 +141,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 to 1) and rejected for every row; a null text has no letter, hence "und"."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by DIMS, LANGUAGES and CENTROIDS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by DIMS, CENTROIDS and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
