@@ -180,14 +180,19 @@ def test_induced_sort(memory):
             assert a[:cap] <= b[:cap] and n == min(cap, same)
 
 
-@pytest.mark.parametrize("chunk", [1024, 4])
-def test_embedding_dedup(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "wide"), [(4096, 1 << 13), (4, 1 << 13), (4096, 1)])
+def test_embedding_dedup(spark, monkeypatch, chunk, wide):
     monkeypatch.setattr(embed_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(embed_dedup, "WIDE", wide)
     rng = np.random.default_rng(4)
     rows = []
     for _ in range(60):
         v, label = rng.normal(size=24), int(rng.integers(0, 3))
         rows += [(v + rng.normal(size=24) * rng.choice([0, 0.05, 0.2]), label) for _ in range(rng.integers(1, 5))]
+    v = rng.normal(size=24)  # right at the limit, to the last digits
+    u = rng.normal(size=24)
+    u -= v * (u @ v) / (v @ v)
+    rows += [(v, 1)] + [(v / np.linalg.norm(v) * c + u / np.linalg.norm(u) * np.sqrt(1 - c * c), 1) for c in (0.97999, 0.98, 0.98001, 0.9799999, 0.9800001)]
     rows += [(rows[0][0], rows[0][1]), (rows[0][0] * 3, rows[0][1]), (rows[0][0], None), (np.zeros(24), 1), (np.full(24, np.nan), 1), (np.full(24, np.inf), 1), (None, 1), ([1.0, None], 1), ([], 1), ([1.0, 2.0], 1), ([2.0, 4.0], 1)]
     data = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label, 7) for i, (v, label) in enumerate(rows)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, rep int")
@@ -203,3 +208,24 @@ def test_embedding_dedup(spark, monkeypatch, chunk):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df).collect()}
     assert got == {i: (sum(i in p for p in links), root[i], root[i] == i) for i in range(len(data))}
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_odd_ids(spark):
+    data = [(5, [1.0, 0.0], "a"), (5, [0.0, 1.0], "a"), (7, [0.0, 1.0], "a"), (None, [1.0, 0.01], "a"), (None, [1.0, 1.0], "a"), (None, [1.0, 1.0], None), (3, [1.0, 0.02], "b"), (3, [1.0, 0.02], "b"), (4, [-1.0, 0.0], "a")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    got = sorted((tuple(r) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (None, 1, 5, False), (None, 0, None, True), (None, 0, None, True), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)], key=str)
+
+
+def test_visits_meet_all_within_reach():
+    rng = np.random.default_rng(6)
+    for depth in (1, 2, 5):
+        q = rng.integers(-90, 90, (300, depth))
+        row, cell, guest = embed_dedup.visits(q, 400)
+        at = {}
+        for r, c, g in zip(row.tolist(), map(tuple, cell.tolist()), guest.tolist(), strict=True):
+            at.setdefault(c, ([], []))[g].append(r)
+        met = [tuple(sorted(p)) for own, guests in at.values() for i, a in enumerate(own) for p in [(a, b) for b in own[i + 1 :] + guests]]
+        near = {(a, b) for a in range(300) for b in range(a + 1, 300) if ((q[a] - q[b]) ** 2).sum() <= 400}
+        assert near <= set(met) and len(met) == len(set(met))
+        assert len(row) <= 300 * (1 + 3 * depth)
