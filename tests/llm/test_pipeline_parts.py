@@ -178,29 +178,60 @@ def test_pack(spark):
 # sharding
 
 
+def lpt(sizes, n_shards):
+    """Groups one by one; how many of each size each shard got."""
+    loads, got = [0] * n_shards, defaultdict(lambda: [0] * n_shards)
+    for n in sorted(sizes, reverse=True):
+        k = min(range(n_shards), key=lambda k: (loads[k], k))
+        loads[k] += n
+        got[n][k] += 1
+    return dict(got)
+
+
 def test_schedule_is_lpt():
-    assert sharding.schedule([5, 4, 3, 3, 3], 2) == [0, 1, 1, 0, 1]
+    assert sharding.schedule([(5, 1), (4, 1), (3, 3)], 2) == [(5, [1, 0]), (4, [0, 1]), (3, [1, 2])]
     assert sharding.schedule([], 3) == []
+    rng = random.Random(14)
+    for _ in range(200):
+        shards = rng.choice([1, 2, 5, 24])
+        counts = {rng.randint(1, rng.choice([5, 1000, 10**6])): rng.choice([1, 3, 40, 900]) for _ in range(rng.randint(1, 12))}
+        assert dict(sharding.schedule(counts.items(), shards)) == lpt([s for s, n in counts.items() for _ in range(n)], shards)
 
 
-@pytest.mark.parametrize("fineness", [1, 1024])
-def test_shards(spark, fineness):
+def test_shards(spark):
     rng = random.Random(5)
-    texts = [*ODD, *("w" * rng.randint(0, 300) for _ in range(300)), *["copy"] * 50]
-    rows = sharding.shard(docs(spark, texts), 7, fineness).collect()
+    texts = [*ODD, *("w" * rng.randint(0, 300) for _ in range(300)), *["copy"] * 50, *(f"{i:04d}" for i in range(400))]
+    rows = sharding.shard(docs(spark, texts), 7).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
-    home, slots, load = {}, defaultdict(list), Counter()
+    home, slots = {}, defaultdict(list)
     for r in rows:
         t = (texts[r.doc_id] or "").encode()
         assert (r["size"], r.text_crc32) == (len(t) + 8, zlib.crc32(t))
         assert home.setdefault(t, r.shard) == r.shard
         slots[r.shard].append(r.slot)
-        load[r.shard] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(load.values()) - min(load[k] for k in range(7)) <= (5008 if fineness > 1 else 12000)
+    groups, got = Counter(), defaultdict(lambda: [0] * 7)
+    for t in texts:
+        groups[(t or "").encode()] += len((t or "").encode()) + 8
+    for t, n in groups.items():
+        got[n][home[t]] += 1
+    assert dict(got) == lpt(groups.values(), 7)
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_shards_odd_rows(spark, monkeypatch):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 3)
+    rows = [(1, "a")] * 20 + [(None, "b")] * 5 + [(None, None), (2, None), (2, "c")]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(out) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+
+
 # BPE
 
 

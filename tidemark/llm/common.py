@@ -72,19 +72,36 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds _rank: the place of a row among those with the same ``key``, from 0 and without gaps.
+#: Equal rows that one step of ``ranked`` spells out.
+COPIES = 1 << 16
+
+
+def ranked(df: DataFrame, key: str, order: list[str], unique: bool = False) -> DataFrame:
+    """Adds _rank: a number of each row among those with the same ``key``, from 0 and without gaps, the same at each run.
+    ``order`` holds all other columns that differ (``unique``: it tells all rows of a key apart).
 
     A key may hold any share of the rows: its rows are ranked in as many parts as there are shuffle partitions, and the
-    parts' offsets are sums over their counts.
+    parts' offsets are sums over their counts. So may equal rows: they are counted on the way, ranked as one row, and
+    spelled out in the end.
     """
+    columns = df.columns
+    if unique:
+        df = df.withColumn("_same", F.lit(1).cast("long"))
+    else:
+        df = df.groupBy(*columns).agg(F.count("*").alias("_same"))
     df = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(partitions(df.sparkSession))))
-    counts = df.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(key, "_part").agg(F.sum("_same").alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = df.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
-    joined = inside.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
-    return joined.withColumn("_rank", F.col("_before") + F.col("_rank") - 1).drop("_key", "_of", "_part", "_before")
+    inside = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1 if unique else F.coalesce(F.sum("_same").over(inside), F.lit(0))
+    joined = df.withColumn("_rank", ahead).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    joined = joined.select(*columns, (F.col("_before") + F.col("_rank")).alias("_rank"), "_same")
+    if unique:
+        return joined.drop("_same")
+    steps = joined.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1, F.lit(COPIES).cast("long"))))
+    copies = F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_same")) - 1)
+    return steps.withColumn("_copy", F.explode(copies)).select(*columns, (F.col("_rank") + F.col("_copy")).alias("_rank"))
 
 
 def utf8(text: str = "text") -> F.Column:
