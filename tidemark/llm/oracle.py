@@ -48,10 +48,15 @@ hist AS (SELECT *, [letters - upper_, upper_, digits, symbols, m - letters - dig
 place AS (SELECT doc_id, unnest(windows) AS x, unnest(range(1, len(windows) + 1)) AS i FROM hist),
 again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS k FROM place),
 covered AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again WHERE k > 1) GROUP BY doc_id),
-ref AS (SELECT lang, {sums('chars', 5)} AS rc, {sums('common', n)} AS rw FROM hist GROUP BY lang),
-every AS (SELECT {sums('chars', 5)} AS ec, {sums('common', n)} AS ew FROM hist),
-ready AS (SELECT hist.*, coalesce(r, 0) AS r, CASE WHEN hist.lang = '' THEN ec ELSE rc END AS rc, CASE WHEN hist.lang = '' THEN ew ELSE rw END AS rw FROM hist LEFT JOIN covered USING (doc_id) LEFT JOIN ref ON ref.lang = hist.lang, every),
-judged AS (SELECT doc_id, n, m, symbols, len(lines) - len(list_distinct(lines)) AS dup, r, n < {rules.min_words} OR 100 * r > {rules.max_repeat_percent} * n AS failed,
-{distance('chars', 'rc')} AS dc, {distance('common', 'rw')} AS dw FROM ready)
+tested AS (SELECT hist.*, coalesce(r, 0) AS r, n < {rules.min_words} OR 100 * coalesce(r, 0) > {rules.max_repeat_percent} * n AS failed FROM hist LEFT JOIN covered USING (doc_id)),
+ref AS (SELECT lang, {sums('chars', 5)} AS rc, {sums('common', n)} AS rw FROM tested WHERE NOT failed GROUP BY lang),
+every AS (SELECT {sums('chars', 5)} AS ec, {sums('common', n)} AS ew FROM tested WHERE NOT failed),
+known AS (SELECT lang, list_transform(rw, lambda x: x / list_sum(rw)) AS q FROM ref WHERE lang <> ''),
+typical AS (SELECT lang, i, coalesce(a / sum(a) OVER (PARTITION BY i) / (1 - q[{n}]), 0) AS t FROM (SELECT lang, q, unnest(range(1, {n})) AS i, unnest(list_slice(q, 1, {n - 1})) AS a FROM known)),
+share AS (SELECT doc_id, lang, sum(c * t) AS w FROM (SELECT doc_id, unnest(found) AS c, unnest(range(1, {n})) AS i FROM tested) JOIN typical USING (i) GROUP BY doc_id, lang),
+mixed AS (SELECT doc_id, list(x ORDER BY i) AS rm FROM (SELECT doc_id, i, sum(w * p) / sum(w) AS x FROM share JOIN (SELECT lang, unnest(range(1, {n + 1})) AS i, unnest(q) AS p FROM known) USING (lang) GROUP BY doc_id, i HAVING sum(w) > 0) GROUP BY doc_id),
+ready AS (SELECT tested.*, CASE WHEN tested.lang = '' THEN ec ELSE rc END AS rc, CASE WHEN tested.lang = '' THEN ew ELSE rw END AS rw, rm FROM tested LEFT JOIN ref ON ref.lang = tested.lang LEFT JOIN mixed USING (doc_id), every),
+judged AS (SELECT doc_id, n, m, symbols, len(lines) - len(list_distinct(lines)) AS dup, r, failed,
+{distance('chars', 'rc')} AS dc, least({distance('common', 'rw')}, CASE WHEN rm IS NOT NULL THEN {distance('common', 'rm')} END) AS dw FROM ready)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(r AS BIGINT) AS n_repeat_words, failed AS base_failed,
-NOT failed AND NOT (m >= {rules.char_guard} AND dc > {rules.max_char_distance}) AND NOT (n >= {rules.word_guard} AND dw > {rules.max_word_distance}) AS kept FROM judged"""
+NOT failed AND NOT (m >= {rules.char_guard} AND dc > {rules.max_char_distance}) AND NOT (n >= {rules.word_guard} AND dw > {rules.word_floor} + {rules.word_spread} / sqrt(n)) AS kept FROM judged"""

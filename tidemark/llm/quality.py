@@ -2,11 +2,17 @@
 
 Everything is a DataFrame expression, without a shuffle of texts: one pass measures each text, the references (two small
 histograms a language, so bounded) are added up from the measures and enter the verdict as literals.
+
+References come from all documents that pass the base rules, since lines repeated thousandfold and scraps would shift
+them. The word histogram of n words strays from its reference by chance, by about 1 / sqrt(n), so that its limit falls
+with the number of words. A text in several languages is no junk: its words are also compared with the mixture of
+references that its common words tell, and the nearer of the two counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +39,9 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_char_distance: float = 0.24
-    max_word_distance: float = 0.45
+    #: The limit of the word distance at n words is floor + spread / sqrt(n).
+    word_floor: float = 0.08
+    word_spread: float = 2.2
     #: Below so many words (characters in words) the word (character) histogram isn't judged.
     word_guard: int = 60
     char_guard: int = 600
@@ -67,19 +75,49 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_chars": chars, "_common": common}).drop("_words", "_joined", "_padded", "_letters", "_upper", "_digits", "_found")
 
 
+def base_failed(rules: Rules) -> Column:
+    """Too few words, or too many of them in repeated windows; of measured documents."""
+    return (F.col("_n_words") < rules.min_words) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * rules.max_repeat_percent)
+
+
 def references(measured: DataFrame, rules: Rules) -> dict[str, tuple[list[int], list[int]]]:
-    """The histograms of all documents of each language, and of all documents under "" for other or null languages.
+    """The histograms of all documents of each language that pass the base rules, and of all under "" for other or null
+    languages.
 
     One row a language: at most ``len(rules.languages) + 1`` rows reach the driver.
     """
     n = len(WORDS) + 1
     lang = F.when(F.col("lang").isin(*rules.languages), F.col("lang")).otherwise("").alias("_lang")
-    rows = measured.groupBy(lang).agg(*(F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(5)), *(F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(n))).collect()
+    rows = measured.filter(~base_failed(rules)).groupBy(lang).agg(*(F.sum(F.col("_chars")[i]).alias(f"c{i}") for i in range(5)), *(F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(n))).collect()
     found = {r["_lang"]: ([r[f"c{i}"] for i in range(5)], [r[f"w{i}"] for i in range(n)]) for r in rows}
     every = tuple([sum(x) for x in zip(*(v[k] for v in found.values()), strict=True)] or [0] * (5, n)[k] for k in (0, 1))
     return {k: v for k, v in found.items() if k} | {"": every}
 
 
+def mixture(common: Column, languages: list[list[float]]) -> Column:
+    """The mixture of word distributions that the common words of a text tell, or null if it has none.
+
+    A language's share is that of the words typical of it (each common word counts for a language by the language's part
+    of the word's frequencies), over the share that common words have in the language.
+    """
+    totals = [sum(q[i] for q in languages) for i in range(len(WORDS))]
+    shares = []
+    for q in languages:
+        rate = sum(q[:-1])
+        typical = F.array(*(F.lit(q[i] / totals[i] / rate if totals[i] and rate else 0.0) for i in range(len(WORDS))))
+        shares.append(F.aggregate(F.zip_with(F.slice(common, 1, len(WORDS)), typical, lambda c, t: c * t), F.lit(0.0), lambda a, x: a + x))
+
+    def scaled(q: list[float], by: Column) -> Column:
+        return F.transform(F.array(*map(F.lit, q)), lambda x: x * by)
+
+    def mixed(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+        parts = [scaled(q, w[k] / total) for k, q in enumerate(languages)]
+        return F.when(total > 0, reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts))
+
+    return let(F.array(*shares), mixed)
+
+
 def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of a histogram from a reference distribution; 0 if either is empty."""
 
@@ -118,8 +156,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), texts: bool = True) -> DataFr
 
     Needs text and lang; all new names start with an underscore. A null or empty text has no word and fails; a null or
     unknown language is compared with all documents together. Rows are judged one by one (repeated ones alike); an
-    empty table gives an empty result. Without ``texts`` the column text is left out. The measures are written to the shared folder once, since the references need
-    all of them before the first verdict.
+    empty table gives an empty result. Without ``texts`` the column text is left out. The measures are written to the
+    shared folder once, since the references need all of them before the first verdict.
     """
     measured = measure(docs)
     docs = Scratch(docs.sparkSession).keep(measured if texts else measured.drop("text"), "measured")
@@ -132,8 +170,14 @@ def judge(docs: DataFrame, rules: Rules = Rules(), texts: bool = True) -> DataFr
                 pick = pick.when(F.col("lang") == lang, _distribution(hist[k]))
         return pick.otherwise(_distribution(refs[""][k]))
 
-    docs = docs.withColumns({"_char_distance": js_distance(F.col("_chars"), F.col("_word_chars"), of(0)), "_word_distance": js_distance(F.col("_common"), F.col("_n_words"), of(1)), "_base_failed": (F.col("_n_words") < rules.min_words) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * rules.max_repeat_percent)})
-    far = ((F.col("_word_chars") >= rules.char_guard) & (F.col("_char_distance") > rules.max_char_distance)) | ((F.col("_n_words") >= rules.word_guard) & (F.col("_word_distance") > rules.max_word_distance))
+    word = js_distance(F.col("_common"), F.col("_n_words"), of(1))
+    known = [[c / sum(hist[1]) for c in hist[1]] for lang, hist in refs.items() if lang and sum(hist[1])]
+    if known:
+        # least() passes over a null
+        word = F.least(word, let(mixture(F.col("_common"), known), lambda q: F.when(q.isNotNull(), js_distance(F.col("_common"), F.col("_n_words"), q))))
+    docs = docs.withColumns({"_char_distance": js_distance(F.col("_chars"), F.col("_word_chars"), of(0)), "_word_distance": word, "_base_failed": base_failed(rules)})
+    limit = rules.word_floor + rules.word_spread / F.sqrt(F.col("_n_words"))
+    far = ((F.col("_word_chars") >= rules.char_guard) & (F.col("_char_distance") > rules.max_char_distance)) | ((F.col("_n_words") >= rules.word_guard) & (F.col("_word_distance") > limit))
     return docs.withColumn("_kept", ~F.col("_base_failed") & ~far)
 
 
