@@ -287,6 +287,23 @@ def test_quality(spark):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def test_quality_tells_junk_from_text(spark):
+    rng = random.Random(16)
+    vocab = {k: ["".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(300)] for k, letters in (("en", "aeothndsr"), ("de", "aeinrstüö"))}
+
+    def prose(lang, n):
+        return " ".join(rng.choice(quality.COMMON[lang] if rng.random() < 0.3 else vocab[lang]) for _ in range(n))
+
+    good = [(prose(k, n), k) for k in vocab for n in (60, 120, 300, 1000) for _ in range(12)]
+    mixed = [(f"{prose('en', n)}\n{prose('de', n)}", "en") for n in (100, 400) for _ in range(5)]
+    menu = [(" | ".join(rng.choices(vocab[k], k=n)), k) for k in vocab for n in (150, 400) for _ in range(5)]
+    signs = [(" ".join(w + rng.choice(["$$$", "###", "%%%"]) for w in prose(k, 200).split()), k) for k in vocab for _ in range(5)]
+    rows = [*good, *mixed, *menu, *signs]
+    got = {r.doc_id: r._kept for r in quality.judge(docs(spark, *zip(*rows, strict=True))).collect()}
+    n = len(good) + len(mixed)
+    assert all(got[i] for i in range(n)) and not any(got[i] for i in range(n, len(rows)))
+
+
 def test_distance(spark):
     counts, ref = [3, 0, 5, 2], [0.1, 0.4, 0.5, 0.0]
     row = spark.range(1).select(quality.js_distance(quality.F.array(*map(quality.F.lit, counts)), quality.F.lit(10), quality.F.array(*map(quality.F.lit, ref)))).first()[0]

@@ -59,4 +59,4 @@ ready AS (SELECT tested.*, CASE WHEN tested.lang = '' THEN ec ELSE rc END AS rc,
 judged AS (SELECT doc_id, n, m, symbols, len(lines) - len(list_distinct(lines)) AS dup, r, failed,
 {distance('chars', 'rc')} AS dc, least({distance('common', 'rw')}, CASE WHEN rm IS NOT NULL THEN {distance('common', 'rm')} END) AS dw FROM ready)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(r AS BIGINT) AS n_repeat_words, failed AS base_failed,
-NOT failed AND NOT (m >= {rules.char_guard} AND dc > {rules.max_char_distance}) AND NOT (n >= {rules.word_guard} AND dw > {rules.word_floor} + {rules.word_spread} / sqrt(n)) AS kept FROM judged"""
+NOT failed AND NOT (m >= {rules.char_guard} AND dc > {rules.char_floor} + {rules.char_spread} / sqrt(m)) AND NOT (n >= {rules.word_guard} AND dw > {rules.word_floor} + {rules.word_spread} / sqrt(n)) AS kept FROM judged"""

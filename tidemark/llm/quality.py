@@ -4,8 +4,8 @@ Everything is a DataFrame expression, without a shuffle of texts: one pass measu
 histograms a language, so bounded) are added up from the measures and enter the verdict as literals.
 
 References come from all documents that pass the base rules, since lines repeated thousandfold and scraps would shift
-them. The word histogram of n words strays from its reference by chance, by about 1 / sqrt(n), so that its limit falls
-with the number of words. A text in several languages is no junk: its words are also compared with the mixture of
+them. The histogram of n words or characters strays from its reference by chance, by about 1 / sqrt(n), so that the
+limits fall with the length. A text in several languages is no junk: its words are also compared with the mixture of
 references that its common words tell, and the nearer of the two counts.
 """
 
@@ -38,13 +38,14 @@ class Rules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_char_distance: float = 0.24
-    #: The limit of the word distance at n words is floor + spread / sqrt(n).
+    #: The limit of a distance is floor + spread / sqrt(n), at n words or n characters in words.
+    char_floor: float = 0.15
+    char_spread: float = 2.5
     word_floor: float = 0.08
     word_spread: float = 2.2
     #: Below so many words (characters in words) the word (character) histogram isn't judged.
     word_guard: int = 60
-    char_guard: int = 600
+    char_guard: int = 300
     languages: tuple[str, ...] = field(default_factory=lambda: tuple(sorted(COMMON)))
 
 
@@ -176,9 +177,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), texts: bool = True) -> DataFr
         # least() passes over a null
         word = F.least(word, let(mixture(F.col("_common"), known), lambda q: F.when(q.isNotNull(), js_distance(F.col("_common"), F.col("_n_words"), q))))
     docs = docs.withColumns({"_char_distance": js_distance(F.col("_chars"), F.col("_word_chars"), of(0)), "_word_distance": word, "_base_failed": base_failed(rules)})
-    limit = rules.word_floor + rules.word_spread / F.sqrt(F.col("_n_words"))
-    far = ((F.col("_word_chars") >= rules.char_guard) & (F.col("_char_distance") > rules.max_char_distance)) | ((F.col("_n_words") >= rules.word_guard) & (F.col("_word_distance") > limit))
-    return docs.withColumn("_kept", ~F.col("_base_failed") & ~far)
+    far = [(F.col(n) >= guard) & (F.col(distance) > floor + spread / F.sqrt(n)) for n, distance, guard, floor, spread in (("_word_chars", "_char_distance", rules.char_guard, rules.char_floor, rules.char_spread), ("_n_words", "_word_distance", rules.word_guard, rules.word_floor, rules.word_spread))]
+    return docs.withColumn("_kept", ~F.col("_base_failed") & ~far[0] & ~far[1])
 
 
 def filter_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
