@@ -13,6 +13,10 @@ from tidemark.llm.quality import filter_quality
 from tidemark.llm.suffix_dedup import without_repeats
 
 
+#: Session setting with the key of the surrogates; without it they are made with a key for tests.
+KEY_SETTING = "spark.tidemark.pii.key"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return filter_quality(docs)
@@ -29,8 +33,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets give way to surrogates; every document stays."""
-    done = anonymise(docs, DEMO_KEY)
+    """Personal data and secrets give way to surrogates; every document stays. The secret key is read from the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    done = anonymise(docs, key.encode() if key else DEMO_KEY)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
