@@ -312,8 +312,10 @@ class Detector:
     def __init__(self, names: Mapping[tuple[str, str], list[str]] = NAMES) -> None:
         self.given = {name for own in names.values() for name in own}
         given = "|".join(map(re.escape, sorted(self.given, key=lambda x: (-len(x), x))))
-        name = rf"(?<!\w)(?:{given}) {_FAMILY}(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.? {_FAMILY}(?!\w)" if given else rf"(?<!\w)(?:{'|'.join(TITLES)})\.? {_FAMILY}(?!\w)"
-        self.find = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in (_PATTERNS | {"name": name}).items()))
+        first = "|".join([*([given] if given else []), *(rf"{t}\.?" for t in TITLES)])
+        every = _PATTERNS | {"name": rf"(?<!\w)(?=\w)(?=[{_UPPER}{''.join({n[0] for n in self.given})}])(?:{first}) {_FAMILY}(?!\w)"}
+        self.find, self.plain = (re.compile("|".join(f"(?P<{kind}>{every[kind]})" for kind in every if kind not in left)) for left in ((), ("mac", "ip6")))
+        self.hexed = re.compile(rf"{_HEX}::?{_HEX}|{_HEX}{{2}}-{_HEX}{{2}}-{_HEX}{{2}}-")  # in every MAC or IPv6 address
         # a text without a digit, an at sign, two groups of hexadecimal letters and all of these has no entity of any kind
         self.marked = re.compile(r"[@\d]|[A-Fa-f]{2}[:-][A-Fa-f]{2}")
         self.words = [*sorted(self.given), *(t + end for t in TITLES for end in " ."), *PREFIXES]
@@ -328,8 +330,8 @@ class Detector:
         """Kind, start and end of each entity, in order; of a credential only the value is one. Given and family names that
         the text has as part of a whole name are entities also where they stand alone."""
         out, parts = [], set()
-        for m in self.find.finditer(text):
-            kind = m.lastgroup if m.lastgroup in _PATTERNS or m.lastgroup == "name" else next(k for k in _PATTERNS if m[k] is not None)
+        for m in (self.find if self.hexed.search(text) else self.plain).finditer(text):
+            kind = m.lastgroup  # the outer group closes last
             if kind == "ip6" and not _is_host(m[kind]):
                 continue
             if kind == "name":
