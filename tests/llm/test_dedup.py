@@ -59,10 +59,11 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
-def test_ngram_join(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "part"), [(2048, 512), (3, 2)])
+def test_ngram_join(spark, monkeypatch, chunk, part):
     monkeypatch.setattr(ngram_join, "ROWS", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "PART", part)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(df).collect()}
@@ -96,14 +97,21 @@ def test_ngram_join_repeated_rows(spark):
         alone = next(" ".join(short[i : i + 5]) for i in range(4) if ngram_join.shingles(np.frombuffer(" ".join(short[i : i + 5]).encode(), np.uint8))[0] == least)
         rows += [(3 * k, alone), (3 * k + 1, " ".join(words)), (3 * k + 2, " ".join(short))]
     want = sorted([(3 * k + d, n, 3 * k + (d > 0)) for k in range(20) for d, n in enumerate((1, 5, 4))] * 2)
-    odd = [(None, rows[1][1]), (None, None)]
-    df = spark.createDataFrame(rows * 2 + odd, "doc_id long, text string")
-    got = [tuple(r) for r in ngram_join.classes(df).collect()]
-    assert sorted(r for r in got if r[0] is not None) == want
-    assert [r for r in got if r[0] is None] == [(None, 0, None)] * 2
-    kept = [tuple(r) for r in ngram_join.one_of_each(df).collect()]
-    assert sorted(r for r in kept if r[0] is not None) == sorted([r for r in rows if r[0] % 3 < 2] * 2)
-    assert sorted(map(str, (r for r in kept if r[0] is None))) == sorted(map(str, odd))
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == want
+    assert sorted(tuple(r) for r in ngram_join.one_of_each(df).collect()) == sorted([r for r in rows if r[0] % 3 < 2] * 2)
+
+
+def test_ngram_join_odd_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1])
+    rows = [(7, one), (9, near), (9, other), (4, other), (None, near), (None, "alone here"), (None, None), (None, "alone here"), (5, ""), (5, "five")]
+    df = spark.createDataFrame([(*r, 1, "d") for r in rows], "doc_id long, text string, n int, digest string")
+    want = [(7, 56, 7), (9, 56, 7), (9, 56, 4), (4, 56, 4), (None, 56, 7), (None, 1, None), (None, 0, None), (None, 1, None), (5, 0, 5), (5, 1, 5)]
+    assert sorted(map(str, (tuple(r) for r in ngram_join.classes(df).collect()))) == sorted(map(str, want))
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(7, one), (4, other), (None, "alone here"), (None, None), (None, "alone here"), (5, ""), (5, "five")]))
 
 
 def test_ngram_join_empty(spark):

@@ -170,7 +170,7 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     size = min(size, len(words))
     if not size:
         return np.zeros(0, np.uint64)
-    total = np.full(len(words) - size + 1, np.uint64(size) * FAR)
+    total = np.full(len(words) - size + 1, np.uint64(size * int(FAR) % (1 << 64)))
     for k in range(size):
         total += words[k : len(words) - size + 1 + k] * STEP[k]
     return np.unique(mix(total))

@@ -1,13 +1,14 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document is its set of distinct word shingles. Any two sets that reach the similarity share a shingle among each
-one's first few under a common order (rare shingles first), so the documents that share such a shingle form a group, and
-every link lies in some group. In a group the documents' count vectors (shingles hashed into 256 groups, counted) are
-points of an R-tree: the overlap of two sets is at most the sum of their coordinate minima, and so of a point and
-a node's upper corner. Pairs that the bound lets through are verified on the whole texts.
-
-Only links that matter for the classes need verifying. First each group links its documents to the smallest one (a
-linear number of pairs, which settles the large groups of near copies), then the trees search only for pairs whose
+A document is its set of distinct word shingles (as 64-bit hashes). Any two sets that reach the similarity share a shingle
+among each one's first few under a common order (the less frequent before the more frequent), so the documents that share
+such a shingle form a group, and every link lies in some group. In a group the documents' count vectors (shingles hashed
+into 256 groups, counted) are points of an R-tree: the overlap of two sets is at most the sum of their coordinate minima,
+and so of a point and a node's upper corner. Pairs that the bound lets through are verified on the whole texts.
+
+Only links that matter for the classes need verifying, so the trees search twice. At first each document of a group takes
+the smallest of those that its tree finds (a linear number of pairs, which settles the large groups of near copies); large
+groups are dealt out for that, each part with the group's smallest document. Then the trees search for all pairs whose
 documents are still apart. Texts with equal sets are one document throughout.
 """
 
@@ -28,8 +29,10 @@ from .repeated import repeated, split_heavy
 
 #: Words of a shingle, groups of the count vectors, and entries of a leaf and of an inner node.
 WORDS, GROUPS, LEAF, FAN = 5, 256, 16, 8
-#: Shingles that are ordered last for their frequency; documents that a task's tree holds at most.
-FREQUENT, CHUNK = 1 << 17, 2048
+#: Shingles that are ordered by their frequency, behind all others.
+FREQUENT = 1 << 19
+#: Documents of a group's part in the first search; of a group's chunk in the second, where any two chunks meet.
+PART, CHUNK = 512, 2048
 #: Shingles of a run in which frequent ones are counted.
 RUN = 1 << 22
 #: Queries that a tree answers at once, and rows that one tree holds at most (but for a last group).
@@ -42,7 +45,17 @@ def shingles(x: np.ndarray, words: int = WORDS) -> np.ndarray:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    """Shingles of each group, in the least width that holds them."""
+    count = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return count.astype(np.min_scalar_type(int(count.max())))
+
+
+def vectors(column: pa.Array) -> np.ndarray:
+    """Count vectors from their bytes."""
+    out = np.empty((len(column), GROUPS), np.int32)
+    for i, x in enumerate(blobs(column)):
+        out[i] = x.view(f"u{len(x) // GROUPS}")
+    return out
 
 
 def needed(a, b, percent: int):  # noqa: ANN001, ANN201
@@ -137,17 +150,19 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, digest binary, counts binary")
 
 
-def _prefixes(last: np.ndarray, words: int, percent: int):  # noqa: ANN202
-    """Entries for ``repeated``: a document's first shingles under the common order, its id and its size."""
+def _prefixes(late: np.ndarray, level: np.ndarray, words: int, percent: int):  # noqa: ANN202
+    """Entries for ``repeated``: a document's first shingles under the common order, its id and its size. late: frequent
+    shingles, ascending, with their levels of frequency; all others come before them."""
 
     def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for doc, x in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
             s = shingles(x, words)
             n = len(s)
             if n:
-                at = np.searchsorted(last, s)
-                late = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(n, bool)
-                s = np.concatenate((s[~late], s[late]))[: n - (percent * n + 99) // 100 + 1]
+                if len(late):
+                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
+                    s = s[np.argsort(np.where(late[at] == s, level[at], 0), kind="stable")]
+                s = s[: n - (percent * n + 99) // 100 + 1]
                 yield s, np.full(len(s), doc, np.int64), np.full(len(s), n, np.int64)
 
     return entries
@@ -174,28 +189,66 @@ def _verify(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2)), blobs(batch.column(3)), strict=True):
                 s, t = of(a, x), of(b, y)
                 least = needed(len(s), len(t), percent)
-                ok.append(np.minimum(count_vector(s), count_vector(t)).sum() >= least and len(np.intersect1d(s, t, assume_unique=True)) >= least)
+                ok.append(len(np.intersect1d(s, t, assume_unique=True)) >= least)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs`` (doc_id, text).
+def _search(rows: DataFrame, key: list[str], percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b: ids, a > b) that the trees find in the groups of ``key``. ``first``: for each document of a group the
+    smallest one only; else all pairs of different components whose chunks meet here."""
+    columns = [*key, "doc", "n", "counts"] if first else [*key, "doc", "n", "counts", "component", "chunk"]
+    rows = rows.select(*columns).repartition(*key).sortWithinPartitions(*key)
 
-    A null, empty or blank text has an empty set and links with nothing. A text with fewer words than a shingle is one
-    shingle. Rows with equal sets link. A null doc_id links with nothing: its row has no shingle and a null component_id.
-    Repeated rows have the same result. An empty table gives an empty result.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, in trees of about ROWS rows."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                new = np.flatnonzero(changes(rows)) + 1
+                if len(new):
+                    yield pairs(rows.slice(0, new[-1]))
+                    rows = rows.slice(new[-1])
+                held = rows.to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    def changes(rows: pa.Table) -> np.ndarray:
+        return np.any([(k := rows.column(c).to_numpy())[1:] != k[:-1] for c in key], axis=0)
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        doc, size = (rows.column(c).to_numpy() for c in ("doc", "n"))
+        group = np.cumsum(np.concatenate(([False], changes(rows))))
+        tree = CountTree(group, vectors(rows.column("counts")), size)
+        if first:
+            least = np.full(len(doc), np.iinfo(np.int64).max)
+            for q, e in tree.search(percent, lambda q, e: doc[q] < doc[e]):
+                np.minimum.at(least, e, doc[q])
+            some = least < doc
+            a, b = doc[some], least[some]
+        else:
+            i, j, chunk, component = (rows.column(c).to_numpy() for c in ("i", "j", "chunk", "component"))
+            found = [(doc[e], doc[q]) for q, e in tree.search(percent, lambda q, e: (doc[q] < doc[e]) & (component[q] != component[e]) & ((chunk[q] != chunk[e]) | (i[q] == j[q])))]
+            a, b = (np.concatenate([f[k] for f in found] or [doc[:0]]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """doc_id, n_shingles, component_id and digest (of the set) of every row of ``docs`` (doc_id, text: bytes); None if an
+    id is null or stands on texts with different sets."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    docs = docs.filter(F.col("doc_id").isNotNull())
     told = scratch.keep(_describe(docs, words), "told")
     sets = told.filter("kind = 0").select("doc_id", "n", "digest", "counts")
+    if not sets.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("doc_id IS NULL OR low < high").limit(1).isEmpty():
+        scratch.drop("told")
+        return None
     counted = scratch.keep(told.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")), "counted")
-    # eight classes of counts to an octave; the highest that hold FREQUENT shingles at most together
+    # eight levels of counts to an octave; the highest that hold FREQUENT shingles at most together
     level = F.floor(F.log2("n") * 8).cast("int")
     taken, least = 0, None
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
@@ -203,70 +256,100 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame
         if taken > FREQUENT:
             break
         least = r["level"]
-    frequent = counted.filter(level >= least).select("doc_id").collect() if least is not None else []  # FREQUENT rows at most
-    last = np.sort(np.array([r["doc_id"] for r in frequent], np.int64).view(np.uint64))
-    reps = scratch.keep(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-
-    shared = repeated(docs, _prefixes(last, words, percent)).select(F.col("key").alias("h"), F.col("id").alias("doc"), F.col("aux").alias("n"))
+    late, of = np.zeros(0, np.uint64), np.zeros(0, np.int16)
+    if least is not None:
+        frequent = counted.filter(level >= least).select("doc_id", level.alias("level")).toArrow()  # FREQUENT rows at most
+        late, of = frequent["doc_id"].to_numpy().view(np.uint64), frequent["level"].to_numpy().astype(np.int16)
+        order = np.argsort(late)
+        late, of = late[order], of[order]
+    shared = _shared(docs, spark.sparkContext.broadcast((late, of)), words, percent)
+    reps = scratch.keep(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    points = sets.select(F.col("doc_id").alias("doc"), "counts")
     shared = scratch.keep(shared.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi"), "shared")
-    leaders = shared.groupBy("h").agg(F.min(F.struct("doc", F.col("n").alias("m"))).alias("leader"), F.count("*").alias("k")).filter("k > 1").select("h", "leader.doc", "leader.m")
-    pairs = shared.join(leaders.withColumnRenamed("doc", "b"), "h").filter((F.col("doc") > F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    pairs = scratch.keep(pairs.select(F.col("doc").alias("a"), "b").distinct(), "pairs")
+    scratch.drop("counted")
+
+    # groups of the same documents (told by 128 bits of a hash of them, as sums: repeated rows would cancel in an xor) are searched once
+    prints = [F.sum(F.shiftrightunsigned(F.xxhash64("doc", F.lit(k)), 32)).alias(f"x{k}") for k in (1, 2, 3, 4)]
+
+    def once(groups: DataFrame, *more: str) -> DataFrame:
+        return groups.groupBy("_n", "x1", "x2", "x3", "x4").agg(F.min(F.struct("h", *more)).alias("g")).select("g.*", "_n")
+
+    groups = once(shared.groupBy("h").agg(F.count("*").alias("_n"), F.min("doc").alias("low"), *prints).filter("_n > 1"), "low")
+    near = shared.join(groups, "h")
+    parts = F.ceil(F.col("_n") / PART).cast("int")
+    part = F.pmod(F.xxhash64("doc"), parts).cast("int")
+    near = near.withColumn("i", F.explode(F.when(F.col("doc") == F.col("low"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(part))))
+    pairs = scratch.keep(_search(near.drop("_n", "low").join(points, "doc"), ["h", "i"], percent, True), "pairs")
     texts = scratch.keep(docs.join(shared.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     links = scratch.keep(_verify(texts, pairs, words, percent), "links")
     apart = components(scratch, links, "first")
 
-    # groups that still hold several classes: their trees search for pairs of different ones
-    points = sets.select(F.col("doc_id").alias("doc"), "counts")
+    # groups that still hold several classes
     owned = shared.join(apart.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     owned = scratch.keep(owned, "owned")
-    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"), *(F.sum(F.shiftrightunsigned(F.xxhash64("doc", F.lit(k)), 32)).alias(f"x{k}") for k in (1, 2, 3, 4)))
-    # groups of the same documents (told by 128 bits of a hash of them, as sums: repeated rows would cancel in an xor) are searched once
-    several = several.filter("low < high").groupBy("_n", "x1", "x2", "x3", "x4").agg(F.min("h").alias("h")).select("h", "_n")
-    several = scratch.keep(several, "several")
+    several = owned.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("_n"), *prints)
+    several = scratch.keep(once(several.filter("low < high")), "several")
     rest = owned.join(several.select("h"), "h", "left_semi").join(points, "doc")
     rest = split_heavy(rest, several.filter(F.col("_n") > 2 * CHUNK), ["h"], "doc", CHUNK)
-    rest = rest.select("h", "i", "j", "chunk", "doc", "n", "component", "counts").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups, in trees of about ROWS rows."""
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= ROWS:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                key = [rows.column(c).to_numpy() for c in ("h", "i", "j")]
-                new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-                if len(new):
-                    yield from pairs_of(rows.slice(0, new[-1]))
-                    rows = rows.slice(new[-1])
-                held = rows.to_batches()
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held))
-
-    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, i, j, chunk, doc, size, component = (rows.column(c).to_numpy() for c in ("h", "i", "j", "chunk", "doc", "n", "component"))
-        points = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).reshape(-1, GROUPS)
-        group = np.cumsum(np.concatenate(([0], np.any([k[1:] != k[:-1] for k in (h, i, j)], axis=0))))
-        for q, e in CountTree(group, points, size).search(percent, lambda q, e: (doc[q] < doc[e]) & (component[q] != component[e]) & ((chunk[q] != chunk[e]) | (i[q] == j[q]))):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[e]), pa.array(doc[q])], ["a", "b"])
-
-    late = rest.mapInArrow(search, "a long, b long").distinct()
-    late = scratch.keep(late.join(pairs, ["a", "b"], "left_anti"), "late")
+    late = scratch.keep(_search(rest, ["h", "i", "j"], percent, False).join(pairs, ["a", "b"], "left_anti"), "late")
     more = scratch.keep(_verify(texts, late, words, percent), "more")
     tree = components(scratch, links.unionByName(more), "second")
-    scratch.drop("counted", "shared", "pairs", "texts", "links", "owned", "several", "late", "more")  # all read by now
+    scratch.drop("shared", "pairs", "texts", "links", "owned", "several", "late", "more")  # all read by now
 
     classes_ = reps.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    done = sets.join(classes_, "digest", "left")
-    done = done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return done.unionByName(nameless)
+    done = sets.drop("counts").join(classes_, "digest", "left")
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "digest")
+
+
+def _shared(docs: DataFrame, order, words: int, percent: int) -> DataFrame:  # noqa: ANN001
+    """h, doc and n of the prefixes' shingles that several rows have. order: broadcast of the frequent shingles."""
+
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return _prefixes(*order.value, words, percent)(batch)
+
+    return repeated(docs, entries).select(F.col("key").alias("h"), F.col("id").alias("doc"), F.col("aux").alias("n"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return Scratch(docs.sparkSession).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs`` (doc_id, text).
+
+    A null, empty or blank text has an empty set and links with nothing. A text with fewer words than a shingle is one
+    shingle. Rows with equal sets link. Repeated rows have the same result. Where a doc_id is null or stands on different
+    texts, rows are numbered first, and each has its own text's result; component_id is the smallest id that is not null,
+    or null if there is none. An empty table gives an empty result.
+    """
+    tune(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    done = _classes(docs, words, percent)
+    if done is None:
+        rows = _numbered(docs)
+        done = _classes(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
+        done = done.withColumnsRenamed({"doc_id": "_row", "component_id": "component"}).join(rows.select("_row", "doc_id"), "_row")
+        least = done.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        done = done.join(least, "component")
+    return done.select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, or null, with all columns."""
-    kept = classes(docs.select("doc_id", "text"), words, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs`` whose doc_id is the smallest of its class, with all columns. Repeated rows stay or go together.
+
+    Where a doc_id is null or stands on different texts, a class keeps the rows with one of its texts: that of the smallest
+    doc_id, null last, and the first by a hash where that has several.
+    """
+    tune(docs.sparkSession)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    done = _classes(plain, words, percent)
+    if done is not None:
+        return docs.join(done.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    rows = _numbered(docs)
+    done = _classes(rows.select(F.col("_row").alias("doc_id"), utf8().alias("text")), words, percent).withColumnRenamed("doc_id", "_row")
+    done = done.join(rows.select("_row", F.col("doc_id").cast("long").alias("_id")), "_row").withColumn("_place", F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("digest").alias("digest")))
+    kept = done.join(done.groupBy("component_id").agg(F.min("_place").alias("_least")), "component_id").filter("_place = _least OR n_shingles = 0")
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
