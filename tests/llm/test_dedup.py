@@ -133,9 +133,10 @@ def cut(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("hot", "length"), [(4096, 100), (1, 100), (4096, 20), (2, 20)])
-def test_suffix_dedup(spark, monkeypatch, hot, length):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize(("group", "memory", "length"), [(2048, 64 << 20, 100), (1, 1, 100), (2048, 300, 20), (2, 64 << 20, 20)])
+def test_suffix_dedup(spark, monkeypatch, group, memory, length):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "MEMORY", memory)
     rows = corpus(2)
     df = spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, doc string")
     got = {r.doc_id: tuple(r._cut[:3]) + (hashlib.sha256(r._cut.kept).hexdigest(),) for r in suffix_dedup.remove_repeated(df, length).collect()}
@@ -163,23 +164,56 @@ def test_fragments_that_repeat_themselves():
     rng = np.random.default_rng(8)
     for _ in range(200):
         x = np.concatenate([np.tile(rng.integers(97, 123, rng.integers(1, 60)).astype(np.uint8), rng.integers(1, 30))[: rng.integers(1, 300)] for _ in range(4)])
-        for start, count, again in zip(*suffix_dedup.fragments(x)[1:], strict=True):
-            own = [x[s : s + 100].tobytes() for s in range(start, start + count)]
-            assert again or len(set(own)) == len(own)
+        for k in suffix_dedup._levels(100):
+            found = list(zip(*suffix_dedup.fragments(x, 100, k), strict=True))
+            assert [s for _, start, count, _ in found for s in range(start, start + count)] == list(range(len(x) - 99))
+            for _, start, count, again in found:
+                own = [x[s : s + 100].tobytes() for s in range(start, start + count)]
+                assert again or len(set(own)) == len(own)
+
+
+def test_suffix_dedup_odd_ids(spark):
+    rng = random.Random(19)
+    line = lambda n: "".join(rng.choices("bcdfghjklmnpqrstvwxyz ", k=n))
+    passage = line(150)
+    texts = [passage, line(60) + passage, line(10) + passage + line(5)]
+    rows = [(3, texts[0]), (3, texts[1]), (3, texts[1]), (1, texts[2]), (None, passage), (None, None), (4, None), (4, "")]
+    got = sorted((str(r.doc_id), str(r.text), tuple(r._cut[:3]) + (hashlib.sha256(r._cut.kept).hexdigest(),)) for r in suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    want = cut([(i, t) for i, (_, t) in enumerate(order)], 100)
+    told = {r: want[i] for i, r in enumerate(order)} | {(None, t): cut([(0, t)], 100)[0] for t in (passage, None)}
+    assert got == sorted((str(d), str(t), told[d, t]) for d, t in rows)
+
+
+def test_induced_sort_beyond_memory(monkeypatch):
+    """Arrays and queues on disk; what is held at once is a small part of the text."""
+    import tracemalloc
+
+    from tidemark.llm import induced_sort
+
+    monkeypatch.setattr(induced_sort, "BLOCK", 1 << 11)
+    rng = random.Random(20)
+    vocab = [prose(rng, 1) for _ in range(3000)]
+    text = np.frombuffer(b"\0".join(" ".join(rng.choices(vocab, k=300)).encode() for _ in range(2000)) + b"\0", np.uint8)
+    tracemalloc.start()
+    total = sum(len(at) for at, _ in InducedSort(text, 100, 1 << 16, 1 << 11).sorted())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(text) - 2000 and 1.5 * peak < len(text), (peak, len(text))
 
 
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("memory", [1, 1 << 20])
-def test_induced_sort(memory):
+@pytest.mark.parametrize(("memory", "block"), [(1, 3), (300, 7), (1 << 20, 1 << 16)])
+def test_induced_sort(memory, block):
     rng = random.Random(5)
     for _ in range(60):
         letters, cap = rng.choice([1, 2, 3, 26]), rng.choice([3, 10, 100])
         parts = [bytes(rng.choice(range(1, 1 + letters)) for _ in range(rng.randint(1, rng.choice([3, 40])))) for _ in range(rng.randint(1, 8))]
         text = b"\0".join(parts) + b"\0"
-        got = [(int(p), int(n)) for at, common in InducedSort(np.frombuffer(text, np.uint8), cap, memory).sorted() for p, n in zip(at, common, strict=True)]
+        got = [(int(p), int(n)) for at, common in InducedSort(np.frombuffer(text, np.uint8), cap, memory, block).sorted() for p, n in zip(at, common, strict=True)]
         suffix = lambda p: text[p : text.index(0, p)]  # noqa: B023, E731
         assert sorted(p for p, _ in got) == [p for p, c in enumerate(text) if c]
         for (p, _), (q, n) in zip(got[:-1], got[1:], strict=True):

@@ -2,15 +2,21 @@
 
 The input is a string of fragments, each closed by a separator (symbol 0) that matches nothing. Suffixes of type S* are
 sorted first, by the order of their substrings up to the next S* suffix, which an induction from unsorted seeds gives,
-and then by their names; where names repeat, the string of names is sorted by doubling. From the sorted S* suffixes all
-others are induced: a queue entry is a suffix with its preceding symbols and the length of the prefix that it has in
-common with the entry before it. A scan in sorted order moves each entry to the queue of its preceding symbol, with one
-more common symbol than the least common prefix met since that queue's last entry. So every queue receives its entries
-in order: priority queues by (symbol, rank) that are plain sequences, which spill to disk blocks beyond a memory limit.
+and then by their names; where names repeat, the suffixes of the string of names are told apart by doubling. From the
+sorted S* suffixes all others are induced: a queue entry is a suffix with its preceding symbols and the length of the
+prefix that it has in common with the entry before it. A scan in sorted order moves each entry to the queue of its
+preceding symbol, with one more common symbol than the least common prefix met since that queue's last entry. So every
+queue receives its entries in order: priority queues by (symbol, rank) that are plain sequences.
+
+Nothing of the input's size needs memory: the text may be a mapped file; types, runs, the S* suffixes, their order and
+ranks are arrays that lie on disk once they exceed the memory limit together, and are worked on block by block; queues
+spill to disk blocks beyond the same limit. The one exception: S* suffixes that share all names compared so far are
+sorted together.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,6 +31,27 @@ BLOCK = 1 << 16
 ENTRY = np.dtype([("at", np.int64), ("common", np.int16), ("before", np.uint64)])
 
 
+def spill_dir() -> str | None:
+    """Where a task may leave what it can't hold: where Spark itself spills on this executor. Gone with the task."""
+    local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return local if local and os.path.isdir(local) else None
+
+
+class Arrays:
+    """Arrays of zeros, in memory while they fit ``limit`` bytes together, mapped from disk beyond."""
+
+    def __init__(self, folder: str, limit: int) -> None:
+        self.folder, self.limit, self.used, self.files = Path(folder), limit, 0, 0
+
+    def make(self, n: int, kind: type) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        if self.used + size <= self.limit or not n:
+            self.used += size
+            return np.zeros(n, kind)
+        self.files += 1
+        return np.memmap(self.folder / f"{self.files}.array", kind, "w+", shape=(n,))
+
+
 class Pool:
     """Memory shared by queues; beyond ``limit`` bytes the largest queue moves to disk."""
 
@@ -87,15 +114,22 @@ class Queue:
             self.path.unlink()
             self.path = None
 
+    def clear(self) -> None:
+        self.pool.used -= self.bytes
+        self.held, self.bytes = [], 0
+        if self.path is not None:
+            self.path.unlink()
+            self.path = None
+
     def reverse(self) -> Iterator[np.ndarray]:
-        """Blocks from the last entry to the first; the queue is left as it is."""
-        for block in reversed(self.held):
+        """Blocks from the last entry to the first, of those there at the start; the queue is left as it is. It may spill
+        meanwhile."""
+        held, n = list(self.held), self.path.stat().st_size // ENTRY.itemsize if self.path is not None else 0
+        for block in reversed(held):
             yield block[::-1]
-        if self.path is not None:
-            n = self.path.stat().st_size // ENTRY.itemsize
-            for end in range(n, 0, -BLOCK):
-                a = max(0, end - BLOCK)
-                yield np.fromfile(self.path, ENTRY, end - a, offset=a * ENTRY.itemsize)[::-1]
+        for end in range(n, 0, -BLOCK):
+            a = max(0, end - BLOCK)
+            yield np.fromfile(self.path, ENTRY, end - a, offset=a * ENTRY.itemsize)[::-1]
 
 
 class Scan:
@@ -123,7 +157,7 @@ class Scan:
         last = np.concatenate((np.flatnonzero(first)[1:], [len(order)])) - 1
         self.since[to[last]] = np.where(order[last] + 1 < n, tail[np.minimum(order[last] + 1, n - 1)], np.iinfo(np.int16).max)
         for a, b in zip(np.flatnonzero(first), last + 1, strict=True):
-            self.queues[to[a]].push(entries[a:b])
+            self.queues[to[a]].push(entries[a:b].copy())  # a view would keep the whole block
 
 
 def _range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -145,17 +179,38 @@ def _range_min(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class InducedSort:
     """Sorts the suffixes of ``text`` (uint8, ends with 0; no two zeros side by side). Prefix lengths stop at ``cap``."""
 
-    def __init__(self, text: np.ndarray, cap: int, memory: int = 64 << 20) -> None:
-        self.text, self.cap, self.memory = text, cap, memory
-        n = len(text)
-        change = np.flatnonzero(text[1:] != text[:-1])
-        end = change[np.minimum(np.searchsorted(change, np.arange(n)), max(0, len(change) - 1))] if len(change) else np.zeros(n, np.int64)
-        end = np.where(text == 0, np.arange(n), end)
-        small = text[end] < text[np.minimum(end + 1, n - 1)]
-        small[text == 0] = True
-        self.small = small
-        self.run = np.minimum(end - np.arange(n) + 1, cap).astype(np.int16)  # of equal symbols from here
-        self.stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    def __init__(self, text: np.ndarray, cap: int, memory: int = 64 << 20, block: int = BLOCK) -> None:
+        self.text, self.cap, self.memory, self.block = text, cap, memory, block
+
+    def _blocks(self, n: int) -> Iterator[tuple[int, int]]:
+        for a in range(0, n, self.block):
+            yield a, min(a + self.block, n)
+
+    def _types(self) -> None:
+        """small: S or L, run: equal symbols from here, up to the cap; stars: the S* suffixes."""
+        n = len(self.text)
+        self.small, self.run = self.arrays.make(n, np.bool_), self.arrays.make(n, np.int16)
+        for a, b in reversed(list(self._blocks(n))):
+            x = np.asarray(self.text[a:b])
+            after = np.append(x[1:], self.text[b] if b < n else 0)
+            turn = x != after
+            turn[-1] |= b == n
+            at = np.arange(b - a)
+            end = np.minimum.accumulate(np.where(turn, at, b - a)[::-1])[::-1]
+            inside = end < b - a
+            last = np.where(inside, end, 0)
+            run = np.where(inside, end - at + 1, b - a - at + (int(self.run[b]) if b < n else 0))
+            small = np.where(inside, x[last] < after[last], bool(self.small[b]) if b < n else True)
+            self.small[a:b], self.run[a:b] = small | (x == 0), np.minimum(run, self.cap)
+        self.stars, k = self.arrays.make(sum(len(self._stars_in(a, b)) for a, b in self._blocks(n)), np.int64), 0
+        for a, b in self._blocks(n):
+            some = self._stars_in(a, b)
+            self.stars[k : k + len(some)] = some
+            k += len(some)
+
+    def _stars_in(self, a: int, b: int) -> np.ndarray:
+        small = np.asarray(self.small[max(0, a - 1) : b])
+        return np.flatnonzero(small[1:] & ~small[:-1]) + max(0, a - 1) + 1
 
     def _before(self, at: np.ndarray) -> np.ndarray:
         """The eight symbols before each position; none before a fragment's start."""
@@ -168,7 +223,7 @@ class InducedSort:
             out |= np.where(open_, s, 0).astype(np.uint64) << np.uint64(8 * (k - 1))
         return out
 
-    def _refill(self, block: np.ndarray, steps: int) -> np.ndarray:
+    def _refill(self, block: np.ndarray) -> np.ndarray:
         """Read the text again for entries that have used up the symbols they carried."""
         out = np.flatnonzero(block["before"] == 0)
         out = out[block["at"][out] > 0]
@@ -178,67 +233,67 @@ class InducedSort:
             block["before"][out] = self._before(block["at"][out])
         return block
 
-    def induce(self, seeds: np.ndarray, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def induce(self, seeds: np.ndarray, common: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, common prefix with the position before) of all suffixes in order, but the separators' own, from
         the S* suffixes in order."""
-        with tempfile.TemporaryDirectory(prefix="induced-") as folder:
-            pool = Pool(folder, self.memory)
-            large, small = [pool.queue() for _ in range(256)], [pool.queue() for _ in range(256)]
-            kept = [pool.queue() for _ in range(256)]
-            bounds = np.searchsorted(self.text[seeds], np.arange(257))
-            scan, last = Scan(large), None
-            for c in range(256):
-                last = None
-                for block in large[c].drain():
-                    block = self._refill(block, 8)
-                    kept[c].push(block)
-                    last = block[-1]["at"]
-                    symbol = (block["before"] & np.uint64(255)).astype(np.int64)
-                    scan.move(self._capped(block), symbol, np.flatnonzero((symbol >= c) & (symbol > 0)))
-                for a in range(bounds[c], bounds[c + 1], BLOCK):
-                    at = seeds[a : min(a + BLOCK, bounds[c + 1])]
-                    block = np.empty(len(at), ENTRY)
-                    block["at"], block["common"], block["before"] = at, common[a : a + len(at)], self._before(at)
-                    if a == bounds[c]:
-                        block["common"][0] = 0 if last is None or c == 0 else min(self.run[last], self.run[at[0]])
-                    symbol = (block["before"] & np.uint64(255)).astype(np.int64)
-                    scan.move(block, symbol, np.flatnonzero(symbol > c))
-            scan = Scan(small)
-            for c in range(255, 0, -1):
-                done = pool.queue()
-                lowest = None
-                for block in small[c].drain():
-                    block = self._refill(block, 8)
-                    done.push(block)
-                    lowest = block[-1]["at"]
-                    symbol = (block["before"] & np.uint64(255)).astype(np.int64)
-                    scan.move(self._capped(block), symbol, np.flatnonzero((symbol <= c) & (symbol > 0)))
-                # the L suffixes from the last: each one's common prefix with the one scanned before it
-                nearest = 0 if lowest is None else None
-                for block in kept[c].reverse():
-                    block = block.copy()
-                    if nearest is None:
-                        nearest = min(self.run[block[0]["at"]], self.run[lowest])
-                    own = block["common"].copy()
-                    block["common"][1:] = own[:-1]
-                    block["common"][0] = nearest
-                    nearest = own[-1]
-                    symbol = (block["before"] & np.uint64(255)).astype(np.int64)
-                    scan.move(self._capped(block), symbol, np.flatnonzero((symbol < c) & (symbol > 0)))
-                small[c] = done
-            for c in range(1, 256):
-                last = None
-                for block in kept[c].drain():
-                    last = block[-1]["at"]
-                    yield block["at"], np.minimum(block["common"], self.cap)
-                # S suffixes lie from the last to the first, each with its common prefix with the next one in order
-                nearest = 0 if last is None else None
-                for block in small[c].reverse():
-                    if nearest is None:
-                        nearest = min(self.run[last], self.run[block[0]["at"]])
-                    own = block["common"]
-                    yield block["at"], np.minimum(np.concatenate(([nearest], own[:-1])), self.cap)
-                    nearest = own[-1]
+        pool = Pool(tempfile.mkdtemp(dir=self.folder), self.memory)
+        large, small = [pool.queue() for _ in range(256)], [pool.queue() for _ in range(256)]
+        kept = [pool.queue() for _ in range(256)]
+        scan, last = Scan(large), None
+        for c in range(256):
+            last = None
+            for block in large[c].drain():
+                block = self._refill(block)
+                kept[c].push(block)
+                last = block[-1]["at"]
+                symbol = (block["before"] & np.uint64(255)).astype(np.int64)
+                scan.move(self._capped(block), symbol, np.flatnonzero((symbol >= c) & (symbol > 0)))
+            for a in range(self.bounds[c], self.bounds[c + 1], self.block):
+                b = min(a + self.block, self.bounds[c + 1])
+                at = np.asarray(seeds[a:b])
+                block = np.empty(len(at), ENTRY)
+                block["at"], block["common"], block["before"] = at, 0 if common is None else common[a:b], self._before(at)
+                if a == self.bounds[c]:
+                    block["common"][0] = 0 if last is None or c == 0 else min(self.run[last], self.run[at[0]])
+                symbol = (block["before"] & np.uint64(255)).astype(np.int64)
+                scan.move(block, symbol, np.flatnonzero(symbol > c))
+        scan = Scan(small)
+        for c in range(255, 0, -1):
+            done = pool.queue()
+            lowest = None
+            for block in small[c].drain():
+                block = self._refill(block)
+                done.push(block)
+                lowest = block[-1]["at"]
+                symbol = (block["before"] & np.uint64(255)).astype(np.int64)
+                scan.move(self._capped(block), symbol, np.flatnonzero((symbol <= c) & (symbol > 0)))
+            # the L suffixes from the last: each one's common prefix with the one scanned before it
+            nearest = 0 if lowest is None else None
+            for block in kept[c].reverse():
+                block = block.copy()
+                if nearest is None:
+                    nearest = min(self.run[block[0]["at"]], self.run[lowest])
+                own = block["common"].copy()
+                block["common"][1:] = own[:-1]
+                block["common"][0] = nearest
+                nearest = own[-1]
+                symbol = (block["before"] & np.uint64(255)).astype(np.int64)
+                scan.move(self._capped(block), symbol, np.flatnonzero((symbol < c) & (symbol > 0)))
+            small[c] = done
+        for c in range(1, 256):
+            last = None
+            for block in kept[c].drain():
+                last = block[-1]["at"]
+                yield block["at"], np.minimum(block["common"], self.cap)
+            # S suffixes lie from the last to the first, each with its common prefix with the next one in order
+            nearest = 0 if last is None else None
+            for block in small[c].reverse():
+                if nearest is None:
+                    nearest = min(self.run[last], self.run[block[0]["at"]])
+                own = block["common"]
+                yield block["at"], np.minimum(np.concatenate(([nearest], own[:-1])), self.cap)
+                nearest = own[-1]
+            small[c].clear()
 
     def _capped(self, block: np.ndarray) -> np.ndarray:
         if (block["common"] > self.cap).any():
@@ -246,74 +301,138 @@ class InducedSort:
             block["common"] = np.minimum(block["common"], self.cap)
         return block
 
-    def _names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the S* substrings, in text order, by their sorted order (separators: 0), and each one's separator's
-        place among the S* suffixes."""
+    def _digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash and the size of each S* substring: up to the next S* suffix, its first symbol included; 1 for a separator."""
         stars = self.stars
-        place = np.zeros(len(self.text), np.int64)
-        place[stars] = np.arange(len(stars))
-        seeds = stars[np.argsort(self.text[stars], kind="stable")]
-        flag = np.zeros(len(self.text), bool)
-        flag[stars] = True
-        order = np.concatenate([at[flag[at]] for at, _ in self.induce(seeds, np.zeros(len(seeds), np.int16))] or [np.zeros(0, np.int64)])
-        end = np.append(stars[1:], stars[-1])
-        size = np.where(self.text[stars] == 0, 0, end - stars) + 1
-        inside = np.arange(stars[0], stars[-1] + 1)
-        owner = np.searchsorted(stars, inside, "right") - 1
-        step = inside - stars[owner]
-        code = BYTE[self.text[inside]] * (PLACE[step & 255] + FAR * (step >> 8).astype(np.uint64))
-        digest = np.add.reduceat(code, stars - stars[0])
-        digest = mix(digest + BYTE[self.text[end]] * FAR + size.astype(np.uint64))
-        k = place[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (digest[k[1:]] != digest[k[:-1]]) | (size[k[1:]] != size[k[:-1]]) | (self.text[order[1:]] != self.text[order[:-1]])
-        names = np.zeros(len(stars), np.int64)
-        names[k] = np.cumsum(new)
-        ends = np.flatnonzero(self.text[stars] == 0)
-        return names, ends[np.searchsorted(ends, np.arange(len(stars)))]
+        digest, size = self.arrays.make(len(stars), np.uint64), self.arrays.make(len(stars), np.int64)
+        for a, b in self._blocks(len(stars)):
+            own = np.asarray(stars[a : min(b + 1, len(stars))])
+            if b == len(stars):
+                own = np.append(own, own[-1])
+            own, end = own[:-1], own[1:]
+            size[a:b] = np.where(self.text[own] == 0, 0, end - own) + 1
+            for c, d in self._stretches(own, end):
+                inside = np.arange(own[c], end[d - 1] + (end[d - 1] == own[d - 1]))
+                step = inside - own[c + np.searchsorted(own[c:d], inside, "right") - 1]
+                code = BYTE[self.text[inside]] * (PLACE[step & 255] + FAR * (step >> 8).astype(np.uint64))
+                digest[a + c : a + d] = mix(np.add.reduceat(code, own[c:d] - own[c]) + BYTE[self.text[end[c:d]]] * FAR + size[a + c : a + d].astype(np.uint64))
+        return digest, size
+
+    def _stretches(self, own: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+        """S* substrings a block of symbols at a time."""
+        c = 0
+        while c < len(own):
+            d = max(c + 1, int(np.searchsorted(end, own[c] + 4 * self.block, "right")))
+            yield c, d
+            c = d
+
+    def _named(self) -> tuple[np.ndarray, np.ndarray]:
+        """The S* suffixes (as places in text order) ordered by the names of their substrings, separators first; and the
+        place of the first one with the same name, by place in text order."""
+        stars, m = self.stars, len(self.stars)
+        counts = np.zeros(256, np.int64)
+        for a, b in self._blocks(m):
+            counts += np.bincount(self.text[stars[a:b]], minlength=256)
+        self.bounds = np.concatenate(([0], np.cumsum(counts))).tolist()
+        seeds, next_ = self.arrays.make(m, np.int64), np.array(self.bounds[:256])
+        order, rank = self.arrays.make(m, np.int64), self.arrays.make(m, np.int64)
+        for a, b in self._blocks(m):
+            own = np.asarray(stars[a:b])
+            symbol = self.text[own]
+            turn = np.argsort(symbol, kind="stable")
+            symbol, own = symbol[turn], own[turn]
+            begin = np.searchsorted(symbol, np.arange(256))
+            seeds[next_[symbol] + np.arange(len(own)) - begin[symbol]] = own
+            ends = turn[symbol == 0] + a  # separators are all different, and stand in text order
+            order[next_[0] : next_[0] + len(ends)] = ends
+            rank[ends] = next_[0] + np.arange(len(ends))
+            next_ += np.bincount(symbol, minlength=256)
+        digest, size = self._digests()
+        place, before, first = self.bounds[1], None, self.bounds[1]
+        for at, _ in self.induce(seeds, None):
+            at = at[self.small[at] & (at > 0)]
+            at = at[~self.small[at - 1]]
+            if not len(at):
+                continue
+            k = np.searchsorted(stars, at)
+            told = digest[k], size[k], self.text[at]
+            new = np.ones(len(k), bool)
+            new[1:] = np.any([t[1:] != t[:-1] for t in told], axis=0)
+            new[0] = before is None or before != tuple(int(t[0]) for t in told)
+            before = tuple(int(t[-1]) for t in told)
+            places = place + np.arange(len(k))
+            order[places[0] : places[-1] + 1] = k
+            firsts = np.maximum.accumulate(np.where(new, places, first))
+            rank[k] = firsts
+            place, first = place + len(k), int(firsts[-1])
+        return order, rank
 
     def _sorted_stars(self) -> np.ndarray:
-        """S* suffixes in order: by name, then by what follows, doubling the names compared at each turn."""
-        names, close = self._names()
-        n, h = len(names), 1
-        own = np.arange(n)
-        order = np.argsort(names, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = names[order[1:]] != names[order[:-1]]
-        new[: int((names == 0).sum())] = True  # separators are all different
-        rank = np.empty(n, np.int64)  # the place of the first suffix of those not yet told apart
-        rank[order] = np.maximum.accumulate(np.where(new, own, 0))
-        ties = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in order, whole groups together
-        while len(ties) and h <= self.cap:
-            at = order[ties]
-            follow = np.minimum(at + h, close[at])
-            follow = np.where(self.text[self.stars[follow]] == 0, 0, rank[follow] + 1)
-            group = rank[at]
-            turn = np.lexsort((follow, group))
-            at, follow, group = at[turn], follow[turn], group[turn]
-            order[ties] = at
-            new = np.ones(len(at), bool)
-            new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
-            rank[at] = np.maximum.accumulate(np.where(new, ties, 0))
-            ties = ties[~(new & np.append(new[1:], True))]
+        """Positions of the S* suffixes in order: by name, then by what follows, doubling the names compared at each turn."""
+        order, rank = self._named()
+        stars, m, h = self.stars, len(self.stars), 1
+        close = self.arrays.make(m, np.int64)  # of each one the place of its fragment's separator
+        behind = 0
+        for a, b in reversed(list(self._blocks(m))):
+            mine = np.where(self.text[stars[a:b]] == 0, np.arange(a, b), m)
+            mine = np.minimum(np.minimum.accumulate(mine[::-1])[::-1], behind if b < m else m)
+            close[a:b] = mine
+            behind = int(mine[0])
+        open_ = self.arrays.make(m, np.bool_)  # places of suffixes not yet told apart
+        for a, b in self._blocks(m):
+            first = rank[order[a:b]] == np.arange(a, b)
+            after = np.append(first[1:], rank[order[b]] == b if b < m else True)
+            open_[a:b] = ~(first & after)
+        left = True
+        while left and h <= self.cap:
+            left, a = False, 0
+            while a < m:
+                b = min(a + self.block, m)
+                while b < m and rank[order[b]] != b:  # whole groups
+                    own = rank[order[b : b + self.block]] == np.arange(b, min(b + self.block, m))
+                    b += int(own.argmax()) if own.any() else len(own)
+                ties = a + np.flatnonzero(open_[a:b])
+                if len(ties):
+                    at = order[ties]
+                    follow = np.minimum(at + h, close[at])
+                    follow = np.where(self.text[stars[follow]] == 0, 0, rank[follow] + 1)
+                    group = rank[at]
+                    turn = np.lexsort((follow, group))
+                    at, follow, group = at[turn], follow[turn], group[turn]
+                    order[ties] = at
+                    new = np.ones(len(at), bool)
+                    new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+                    rank[at] = np.maximum.accumulate(np.where(new, ties, 0))
+                    more = ~(new & np.append(new[1:], True))
+                    open_[ties] = more
+                    left |= bool(more.any())
+                a = b
             h *= 2
-        return self.stars[order]
+        out = self.arrays.make(m, np.int64)
+        for a, b in self._blocks(m):
+            out[a:b] = stars[order[a:b]]
+        return out
 
     def _common(self, order: np.ndarray) -> np.ndarray:
         """Common prefixes of neighbours among the S* suffixes, up to the cap, read from the text."""
-        out = np.zeros(len(order), np.int16)
-        a, b, at = order[:-1], order[1:], np.arange(1, len(order))
-        for k in range(self.cap):
-            x = self.text[a + k]
-            same = (x == self.text[b + k]) & (x > 0)
-            a, b, at = a[same], b[same], at[same]
-            if not len(at):
-                break
-            out[at] = k + 1
+        out = self.arrays.make(len(order), np.int16)
+        for first, end in self._blocks(len(order)):
+            own = np.asarray(order[max(0, first - 1) : end])
+            a, b, at = own[:-1], own[1:], np.arange(max(0, first - 1) + 1, end)
+            for k in range(self.cap):
+                x = self.text[a + k]
+                same = (x == self.text[b + k]) & (x > 0)
+                a, b, at = a[same], b[same], at[same]
+                if not len(at):
+                    break
+                out[at] = k + 1
         return out
 
     def sorted(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes but the separators' own, in order: blocks of positions, with the common prefix of each and the
         one before it, up to the cap."""
-        order = self._sorted_stars()
-        yield from self.induce(order, self._common(order))
+        with tempfile.TemporaryDirectory(prefix="induced-", dir=spill_dir()) as self.folder:
+            self.arrays = Arrays(self.folder, self.memory)
+            self._types()
+            order = self._sorted_stars()
+            yield from self.induce(order, self._common(order))
