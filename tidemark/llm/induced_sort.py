@@ -10,8 +10,8 @@ queue receives its entries in order: priority queues by (symbol, rank) that are
 
 Nothing of the input's size needs memory: the text may be a mapped file; types, runs, the S* suffixes, their order and
 ranks are arrays that lie on disk once they exceed the memory limit together, and are worked on block by block; queues
-spill to disk blocks beyond the same limit. The one exception: S* suffixes that share all names compared so far are
-sorted together.
+spill to disk blocks beyond the same limit; and S* suffixes that share all names compared so far are sorted by parts of a
+block's size.
 """
 
 from __future__ import annotations
@@ -367,6 +367,62 @@ class InducedSort:
             place, first = place + len(k), int(firsts[-1])
         return order, rank
 
+    def _follow(self, rank: np.ndarray, close: np.ndarray, at: np.ndarray, h: int) -> np.ndarray:
+        """What the suffixes ``at`` are told apart by: the rank ``h`` names on, or 0 at their fragment's end."""
+        follow = np.minimum(at + h, close[at])
+        return np.where(self.text[self.stars[follow]] == 0, 0, rank[follow] + 1)
+
+    @staticmethod
+    def _settle(order: np.ndarray, rank: np.ndarray, open_: np.ndarray, places: np.ndarray, at: np.ndarray, follow: np.ndarray, group: np.ndarray) -> bool:
+        """Writes the sorted suffixes ``at`` of whole groups to their places; whether some are not told apart yet."""
+        order[places] = at
+        new = np.ones(len(at), bool)
+        new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
+        rank[at] = np.maximum.accumulate(np.where(new, places, 0))
+        more = ~(new & np.append(new[1:], True))
+        open_[places] = more
+        return bool(more.any())
+
+    def _split(self, order: np.ndarray, rank: np.ndarray, open_: np.ndarray, close: np.ndarray, h: int, a: int, b: int) -> bool:
+        """The same for one group that is larger than a few blocks (places a to b): dealt into files by what follows, at
+        pivots from a sample; a pivot has a file of its own, whose suffixes stay together without a sort."""
+        some = order[np.linspace(a, b - 1, 64 + 8 * ((b - a) // self.block)).astype(np.int64)]
+        pivots = np.unique(np.unique(self._follow(rank, close, some, h))[:: 4])
+        with tempfile.TemporaryDirectory(dir=self.folder) as folder:
+            sizes = np.zeros(2 * len(pivots) + 1, np.int64)
+            for c in range(a, b, self.block):
+                at = np.asarray(order[c : min(c + self.block, b)])
+                follow = self._follow(rank, close, at, h)
+                k = np.searchsorted(pivots, follow)
+                part = 2 * k + (pivots[np.minimum(k, len(pivots) - 1)] == follow)
+                for p in np.unique(part):
+                    with open(f"{folder}/{p}", "ab") as f:
+                        np.column_stack((at, follow))[part == p].tofile(f)
+                sizes += np.bincount(part, minlength=len(sizes))
+            left, place = False, a
+            for p in np.flatnonzero(sizes):
+                n = int(sizes[p])
+                if p % 2:
+                    for c in range(0, n, self.block):
+                        at = np.fromfile(f"{folder}/{p}", np.int64, 2 * min(self.block, n - c), offset=16 * c)[::2]
+                        order[place + c : place + c + len(at)], rank[at] = at, place
+                    open_[place : place + n] = n > 1
+                    left |= n > 1
+                else:
+                    at, follow = np.fromfile(f"{folder}/{p}", np.int64).reshape(-1, 2).T
+                    turn = np.argsort(follow, kind="stable")
+                    left |= self._settle(order, rank, open_, place + np.arange(n), at[turn], follow[turn], np.zeros(n))
+                place += n
+        return left
+
+    def _group_end(self, order: np.ndarray, rank: np.ndarray, b: int) -> int:
+        while b < len(order):
+            own = rank[order[b : b + self.block]] == np.arange(b, min(b + self.block, len(order)))
+            if own.any():
+                return b + int(own.argmax())
+            b += len(own)
+        return b
+
     def _sorted_stars(self) -> np.ndarray:
         """Positions of the S* suffixes in order: by name, then by what follows, doubling the names compared at each turn."""
         order, rank = self._named()
@@ -388,24 +444,19 @@ class InducedSort:
             left, a = False, 0
             while a < m:
                 b = min(a + self.block, m)
-                while b < m and rank[order[b]] != b:  # whole groups
-                    own = rank[order[b : b + self.block]] == np.arange(b, min(b + self.block, m))
-                    b += int(own.argmax()) if own.any() else len(own)
+                if b < m and rank[order[b]] != b:  # whole groups, a large one by itself
+                    first = int(rank[order[b]])
+                    b = first if first > a else self._group_end(order, rank, b)
+                if b - a > 4 * self.block:  # one group
+                    left |= self._split(order, rank, open_, close, h, a, b)
+                    a = b
+                    continue
                 ties = a + np.flatnonzero(open_[a:b])
                 if len(ties):
                     at = order[ties]
-                    follow = np.minimum(at + h, close[at])
-                    follow = np.where(self.text[stars[follow]] == 0, 0, rank[follow] + 1)
-                    group = rank[at]
+                    follow, group = self._follow(rank, close, at, h), rank[at]
                     turn = np.lexsort((follow, group))
-                    at, follow, group = at[turn], follow[turn], group[turn]
-                    order[ties] = at
-                    new = np.ones(len(at), bool)
-                    new[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])
-                    rank[at] = np.maximum.accumulate(np.where(new, ties, 0))
-                    more = ~(new & np.append(new[1:], True))
-                    open_[ties] = more
-                    left |= bool(more.any())
+                    left |= self._settle(order, rank, open_, ties, at[turn], follow[turn], group[turn])
                 a = b
             h *= 2
         out = self.arrays.make(m, np.int64)
