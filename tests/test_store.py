@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import LEVELS
 from tidemark.sources import binary, formats
-from tidemark.store import Closed, Manifest, Table
+from tidemark import store
+from tidemark.store import Closed, Manifest, ReadOnly, Table
 from tidemark.streaming.ingest import current, ingest
 
 
@@ -55,7 +56,7 @@ def test_reopen_tombstones_compaction(spark, tmp_path):
     assert [(r.level, r.ord) for r in t.manifest_frame().collect()] == [(1, 0)]
     assert {bytes(r.key): bytes(r.value) for r in reader.collect()} == {b"victim": b"reborn", b"keep": b"1"}, "a reader keeps its runs"
     assert {bytes(r.key): bytes(r.value) for r in t.snapshot().collect()} == {b"victim": b"reborn", b"keep": b"1", b"more": b"2"}
-    assert len(t.vacuum()) == 4 and t.get(b"more") == b"2"
+    assert len(t.vacuum()) == 4 and not t.files.names("wal") and t.get(b"more") == b"2"
 
 
 def test_crash_keeps_the_log(spark, tmp_path):
@@ -66,15 +67,94 @@ def test_crash_keeps_the_log(spark, tmp_path):
     again = Table.open(spark, path)  # as after a crash: nothing was flushed
     assert again.get(b"a") == b"accepted" and again.get(b"b") == b"" and again.manifest.next_seq == 3
     # died after the run was published, before the log was cleared
-    log = again._wal()
-    run = again._publish(log)
-    again.manifest.levels[0].append(run)
+    again.manifest.levels[0] += again._publish(again.log())
     again.manifest.flushed = 2
     again._save(again.manifest)
     third = Table.open(spark, path)
     assert third.log().count() == 3 and third.get(b"a") == b"accepted"
 
 
+def test_reader_leaves_a_write_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    t = Table.open(spark, path)
+    t.put(kv(spark, (b"a", b"1")))
+    os.makedirs(tmp_path / "t/wal/000000000001/_temporary")  # a write in flight
+    for again in (Table.open(spark, path, read_only=True), Table.open(spark, path)):
+        assert again.get(b"a") == b"1"
+        assert os.path.isdir(tmp_path / "t/wal/000000000001/_temporary")
+    reader = Table.open(spark, path, read_only=True)
+    for write in (lambda: reader.put(kv(spark, (b"b", b"2"))), reader.flush, reader.compact, reader.vacuum):
+        with pytest.raises(ReadOnly):
+            write()
+    reader.close()
+    assert not os.path.exists(tmp_path / "t/MANIFEST")
+    Table.open(spark, path).close()  # a writer clears away what is unfinished
+    assert not os.path.exists(tmp_path / "t/wal/000000000001") and Table.open(spark, path, read_only=True).get(b"a") == b"1"
+
+
+def test_reader_during_flushes_and_compaction(spark, tmp_path):
+    import threading
+
+    path = f"file://{tmp_path}/t"
+    t = Table.open(spark, path)
+    t.put(kv(spark, *((f"stable:{i}".encode(), f"value:{i}".encode()) for i in range(10))))
+    reader = Table.open(spark, path, read_only=True)
+    before, wrong, done = reader.snapshot(), [], threading.Event()
+
+    def read() -> None:
+        while not done.is_set():
+            got = {bytes(r.key): bytes(r.value) for r in reader.snapshot().collect()}
+            wrong.extend(i for i in range(10) if got.get(f"stable:{i}".encode()) != f"value:{i}".encode())
+
+    thread = threading.Thread(target=read)
+    thread.start()
+    for k in range(5):
+        t.flush()
+        t.put(kv(spark, (b"marker", str(k).encode())))
+    t.flush()
+    done.set()
+    thread.join()
+    assert not wrong and reader.get(b"marker") == b"4" and before.count() == 10
+    assert t.manifest.levels[1]
+
+
+def test_compaction_leaves_other_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "RUN_ROWS", 10)
+    t = Table.open(spark, f"file://{tmp_path}/t")
+    t.put(kv(spark, *((f"k{i:03d}".encode(), b"old") for i in range(40))))
+    t.flush()
+    t.compact()
+    first = t.manifest.levels[1]
+    assert len(first) == 4 and all(a.high < b.low for a, b in zip(first[:-1], first[1:], strict=True)) and sum(r.rows for r in first) == 40
+    t.put(kv(spark, (b"k000", b"new"), (b"k002", b"new")))
+    t.erase(keys(spark, b"k001"))
+    t.flush()
+    t.compact()
+    second = t.manifest.levels[1]
+    assert second[-3:] == first[-3:] and second[0].sst_id > first[-1].sst_id
+    assert (t.get(b"k000"), t.get(b"k001"), t.get(b"k003"), t.get(b"k039")) == (b"new", b"", b"old", b"old") and t.snapshot().count() == 39
+
+
+def test_lookup_by_bloom_filter(spark, tmp_path):
+    """An absent key inside a run's key range: the filter of the file answers, no row is read."""
+    t = Table.open(spark, f"file://{tmp_path}/t")
+    t.put(kv(spark, *((f"k{2 * i:05d}".encode() * 3, b"v" * 20) for i in range(3000))))
+    t.flush()
+
+    def read(key: bytes) -> int:
+        found = t.log(key).filter(F.col("key") == F.lit(key))
+        rows = found.collect()
+        plan, count = found._jdf.queryExecution().executedPlan(), 0
+        leaves = plan.collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            count += leaf.metrics().apply("numOutputRows").value() if leaf.metrics().contains("numOutputRows") and "Scan" in leaf.nodeName() else 0
+        return len(rows), count
+
+    assert read(b"k00100k00100k00100")[0] == 1 and read(b"k00100k00100k00100")[1] > 0
+    assert [read(f"k{i:05d}".encode() * 3) for i in (101, 2001, 4001)] == [(0, 0)] * 3
+
+
 def test_all_deleted(spark, tmp_path):
     t = Table.open(spark, f"file://{tmp_path}/t")
     for k in range(4):

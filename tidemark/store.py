@@ -5,9 +5,12 @@
     path/runs/<id>          Parquet, range-partitioned and sorted by key, the newest version of a key first
 
 A write is durable once its log folder is there, and visible at the same moment. ``flush`` turns the log into a
-level-0 run and clears it; four level-0 runs trigger ``compact``, which merges all runs into one level-1 run without
-deletions. A reader holds on to the runs that its DataFrame was planned with: replaced runs stay until ``vacuum``.
-One writer a table; readers are free.
+level-0 run; four level-0 runs trigger ``compact``, which merges them with the level-1 runs whose key ranges they touch
+into new level-1 runs without deletions. Level-1 runs never overlap; those not touched stay as they are.
+
+One writer a table; readers are free. A table opened ``read_only`` never writes or deletes anything, and looks at the
+manifest anew for each read; a writer, too, cleans up after a crash only when it first writes. Log folders that are in
+runs and runs that were replaced stay until ``vacuum``, so that a reader keeps what its DataFrame was planned with.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import log as ops
 from .schema import LEVELS, LOG, MANIFEST
 
-COMPACT_AT = 4
+SLICED = T.StructType([*LOG, T.StructField("slice", T.IntegerType())])
+#: Level-0 runs that trigger compaction, and rows of a level-1 run, about.
+COMPACT_AT, RUN_ROWS = 4, 50_000_000
 
 
 class Files:
@@ -70,6 +76,10 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def move(self, name: str, to: str) -> None:
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"can't move {name} to {to}")
+
 
 @dataclass
 class Run:
@@ -100,19 +110,41 @@ class Closed(RuntimeError):
     pass
 
 
+class ReadOnly(RuntimeError):
+    pass
+
+
 class Table:
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.files, self.path, self.closed = spark, Files(spark, path), path.rstrip("/"), False
-        self.manifest = Manifest.parse(self.files.read("MANIFEST")) if self.files.exists("MANIFEST") else Manifest()
-        for name in self.files.names("wal"):  # left over from a flush that published its run but died before clearing
-            if int(name) < self.manifest.flushed or not self.files.exists(f"wal/{name}/_SUCCESS"):
-                self.files.delete(f"wal/{name}")
-        if self.files.names("wal"):
-            self.manifest.next_seq = max(self.manifest.next_seq, ops.next_seq(self._wal()).first()[0])
+        self.read_only, self.writing = read_only, False
+        self.manifest = self._load()
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Table:
-        return cls(spark, path)
+    def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> Table:
+        return cls(spark, path, read_only)
+
+    def _load(self) -> Manifest:
+        manifest = Manifest.parse(self.files.read("MANIFEST")) if self.files.exists("MANIFEST") else Manifest()
+        if not self.read_only and (names := self._log_names(manifest)):
+            manifest.next_seq = max(manifest.next_seq, ops.next_seq(self._read_log(names)).first()[0])
+        return manifest
+
+    def _log_names(self, manifest: Manifest | None = None) -> list[str]:
+        """Log folders that no run holds yet; those without a mark of success are still being written, or never will be."""
+        flushed = (manifest or self.manifest).flushed
+        return [n for n in self.files.names("wal") if int(n) >= flushed and self.files.exists(f"wal/{n}/_SUCCESS")]
+
+    def _begin(self) -> None:
+        """Before a write. The first one clears away what a writer that died has left unfinished."""
+        self._check()
+        if self.read_only:
+            raise ReadOnly(f"{self.path} is open for reading")
+        if not self.writing:
+            for name in self.files.names("wal"):
+                if not self.files.exists(f"wal/{name}/_SUCCESS"):
+                    self.files.delete(f"wal/{name}")
+            self.writing = True
 
     def __enter__(self) -> Table:
         return self
@@ -139,7 +171,7 @@ class Table:
         self._write(rows.withColumn("value", F.when(F.col("op") == 0, F.lit(b"")).otherwise(F.col("value"))), order)
 
     def _write(self, rows: DataFrame, order: list[str]) -> None:
-        self._check()
+        self._begin()
         numbered = ops.as_log(ops.assign_seq(rows, order, self.manifest.next_seq))
         name = max([self.manifest.flushed - 1, *map(int, self.files.names("wal"))]) + 1
         path = f"{self.path}/wal/{name:012d}"
@@ -151,59 +183,68 @@ class Table:
             self.manifest.next_seq = last + 1
 
     def flush(self) -> None:
-        """The log becomes a level-0 run, with all its versions; then it is cleared."""
-        self._check()
-        names = self.files.names("wal")
+        """The log becomes a level-0 run, with all its versions."""
+        self._begin()
+        names = self._log_names()
         if names:
-            run, new = self._publish(ops.dedupe_replay(self._wal())), deepcopy(self.manifest)
-            if run:
-                new.levels[0].append(run)
+            runs, new = self._publish(ops.dedupe_replay(self._read_log(names))), deepcopy(self.manifest)
+            new.levels[0] += runs
             new.flushed = int(names[-1]) + 1
             self._save(new)
-            for name in names:
-                self.files.delete(f"wal/{name}")
             if len(self.manifest.levels[0]) >= COMPACT_AT:
                 self.compact()
 
     def ingest(self, batch: DataFrame, batch_id: int, stream: str, order: list[str]) -> None:
         """One micro-batch (key, op, value) as a level-0 run; a batch that was seen before changes nothing."""
-        self._check()
+        self._begin()
         if batch_id <= self.manifest.batches.get(stream, -1):
             return
         self.flush()
         rows = batch.withColumn("value", F.when(F.col("op") == 0, F.lit(b"")).otherwise(F.col("value")))
-        run = self._publish(ops.as_log(ops.assign_seq(rows, order, self.manifest.next_seq)))
+        runs = self._publish(ops.as_log(ops.assign_seq(rows, order, self.manifest.next_seq)))
         new = deepcopy(self.manifest)
-        if run:
-            new.levels[0].append(run)
-            new.next_seq = max(new.next_seq, run.max_seq + 1)
+        new.levels[0] += runs
+        new.next_seq = max([new.next_seq, *(r.max_seq + 1 for r in runs)])
         new.batches[stream] = batch_id
         self._save(new)
         if len(self.manifest.levels[0]) >= COMPACT_AT:
             self.compact()
 
     def compact(self) -> None:
-        """All runs into one of level 1: the newest version of each key, without deletions. No live key: no run."""
-        self._check()
-        runs = self._runs()
-        if runs:
-            live = ops.latest(self._read(runs)).filter("op = 1")
-            run, new = self._publish(live), deepcopy(self.manifest)
-            new.levels = [[], [run] if run else [], *([] for _ in range(LEVELS - 2))]
+        """Level 0 and the level-1 runs whose key ranges it touches into level 1: the newest version of each key, without
+        deletions, since nothing older lies below. No live key: no run."""
+        self._begin()
+        upper = self.manifest.levels[0]
+        if upper:
+            low, high = min(r.low for r in upper), max(r.high for r in upper)
+            touched = [r for r in self.manifest.levels[1] if r.low <= high and r.high >= low]
+            rows = sum(r.rows for r in [*upper, *touched])
+            live = ops.latest(self._read([*upper, *touched])).filter("op = 1")
+            runs, new = self._publish(live, max(1, round(rows / RUN_ROWS))), deepcopy(self.manifest)
+            kept = [r for r in self.manifest.levels[1] if r not in touched]
+            new.levels = [[], sorted([*kept, *runs], key=lambda r: r.low), *([] for _ in range(LEVELS - 2))]
             self._save(new)
 
-    def _publish(self, rows: DataFrame) -> Run | None:
+    def _publish(self, rows: DataFrame, slices: int = 1) -> list[Run]:
+        """Writes rows as runs: as many ``slices`` of the key range, but for empty ones."""
         # a run that was written but never named by a manifest keeps its folder until vacuum
         sst_id = max([self.manifest.next_id, *(int(n) + 1 for n in self.files.names("runs"))])
-        self.manifest.next_id = sst_id + 1
-        path = f"{self.path}/runs/{sst_id:06d}"
+        path, name = f"{self.path}/runs/{sst_id:06d}", f"runs/{sst_id:06d}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartitionByRange(n, "key").sortWithinPartitions("key", F.desc("seq")).write.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
-        about = self.spark.read.schema(LOG).parquet(path).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("seq")).first()
-        if not about.n:
-            self.files.delete(f"runs/{sst_id:06d}")
-            return None
-        return Run(sst_id, about.n, bytes(about.low).hex(), bytes(about.high).hex(), about.seq)
+        ranged = rows.repartitionByRange(n * slices, "key").sortWithinPartitions("key", F.desc("seq"))
+        writer = ranged.withColumn("slice", F.floor(F.spark_partition_id() / n).cast("int")).write.partitionBy("slice")
+        writer.option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+        if not any(n.startswith("slice=") for n in self.files.names(name)):
+            self.files.delete(name)
+            return []
+        written = self.spark.read.schema(SLICED).parquet(path)
+        about = written.groupBy("slice").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.max("seq").alias("seq")).orderBy("slice").collect()
+        runs = [Run(sst_id + 1 + k, r.n, bytes(r.low).hex(), bytes(r.high).hex(), r.seq) for k, r in enumerate(about)]
+        for run, r in zip(runs, about, strict=True):
+            self.files.move(f"{name}/slice={r.slice}", f"runs/{run.sst_id:06d}")
+        self.files.delete(name)
+        self.manifest.next_id = runs[-1].sst_id + 1
+        return runs
 
     def _save(self, new: Manifest) -> None:
         """The new manifest counts once it has replaced the old one on disk."""
@@ -211,19 +252,24 @@ class Table:
         self.manifest = new
 
     def vacuum(self) -> list[str]:
-        """Delete runs that the manifest no longer names. Only for when no reader still holds an older DataFrame."""
-        self._check()
+        """Delete runs that the manifest no longer names, and log folders that are in runs; the names of the runs. Only for
+        when no reader still holds an older DataFrame."""
+        self._begin()
         live = {f"{r.sst_id:06d}" for r in self._runs()}
         gone = [name for name in self.files.names("runs") if name not in live]
         for name in gone:
             self.files.delete(f"runs/{name}")
+        for name in self.files.names("wal"):
+            if int(name) < self.manifest.flushed:
+                self.files.delete(f"wal/{name}")
         return gone
 
     def close(self) -> None:
         """Flush and refuse everything after; again: nothing. A close that fails leaves the log and can be retried."""
         if not self.closed:
-            self.flush()
-            self._save(self.manifest)
+            if not self.read_only:
+                self.flush()
+                self._save(self.manifest)
             self.closed = True
 
     # reads
@@ -236,15 +282,17 @@ class Table:
             return ops.empty(self.spark)
         return self.spark.read.schema(LOG).parquet(*(f"{self.path}/runs/{r.sst_id:06d}" for r in runs))
 
-    def _wal(self) -> DataFrame:
-        names = self.files.names("wal")
+    def _read_log(self, names: list[str]) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(*(f"{self.path}/wal/{n}" for n in names)) if names else ops.empty(self.spark)
 
     def log(self, key: bytes | None = None) -> DataFrame:
         """All versions that are still stored; with ``key``, of the runs whose key range holds it."""
         self._check()
+        if self.read_only:
+            self.manifest = self._load()  # before the log is listed: what a flush moves meanwhile is seen at least once
+        names = self._log_names()
         runs = [r for r in self._runs() if key is None or r.low <= key.hex() <= r.high]
-        return self._read(runs).unionByName(self._wal())
+        return self._read(runs).unionByName(self._read_log(names))
 
     def get(self, key: bytes) -> bytes:
         """The value; empty if the key is missing or deleted."""
