@@ -114,6 +114,49 @@ def test_rotation_and_pages(log, rows):
     assert sum(r.next_key is None for r in ranges) == 1
 
 
+def test_folds_across_partitions_and_groups(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", "c"]), f"k{rng.randint(0, 12):02d}".encode(), i, 1, b"v" * rng.choice([0, 3, 40])) for i in range(300)]
+    log = spark.createDataFrame(rows, "g string, key binary, seq long, op tinyint, value binary")
+    size = lambda r: 16 + len(r[1]) + len(r[4])
+    for limit in (1, 50, 400, 100_000):
+        want, paged, unique = {}, {}, {}
+        for g in "abc":
+            own, run, held = sorted((r for r in rows if r[0] == g), key=lambda r: r[2]), 0, 0
+            for r in own:
+                if held >= limit:
+                    run, held = run + 1, 0
+                want[g, r[2]] = run
+                held += size(r)
+            for out, any_ in ((paged, False), (unique, True)):
+                at, begin, last = 0, None, None
+                for r in sorted(own, key=lambda r: (r[1], -r[2])):
+                    start = begin is None or (at - begin >= limit and (any_ or r[1] != last))
+                    begin = at if start else begin
+                    out[g, r[1], r[2]] = (at, start)
+                    at, last = at + size(r), r[1]
+        assert {(r.g, r.seq): r.run for r in pages.rotate(log, "g", limit).collect()} == want, limit
+        assert {(r.run, bytes(r.key), r.seq): (r.offset, r.page_start) for r in pages.pages(log, "g", limit=limit).collect()} == paged, limit
+        assert {(r.run, bytes(r.key), r.seq): (r.offset, r.page_start) for r in pages.pages(log, "g", True, limit).collect()} == unique, limit
+    assert pages.rotate(log.limit(0), "g").count() == 0 and pages.pages(log.limit(0), "g").count() == 0
+
+
+def test_seeks_across_partitions(spark):
+    import bisect
+    import random
+
+    rng = random.Random(9)
+    index = [(run, f"{k:04d}".encode(), 7 * k) for run in (1, 2) for k in sorted(rng.sample(range(500, 3000), 40))]
+    probes = [(rng.choice([0, 1, 2, 3]), f"{rng.randint(0, 3500):04d}".encode()) for _ in range(300)]
+    got = {(r.run, bytes(r.key)): r.offset for r in pages.seek_pages(spark.createDataFrame(index, "run int, key binary, offset long"), spark.createDataFrame(probes, "run int, key binary")).collect()}
+    for run, key in probes:
+        own = [(k, o) for r, k, o in index if r == run]
+        at = bisect.bisect_right([k for k, _ in own], key) - 1
+        assert got[run, key] == (own[at][1] if at >= 0 else None)
+
+
 def test_seek_files(spark):
     files = spark.createDataFrame([(1, b"b"), (2, b"m")], "sst_id long, first_key binary")
     got = pages.seek_files(files, spark.createDataFrame([(b"a",), (b"b",), (b"c",), (b"m",), (b"z",)], "key binary")).collect()

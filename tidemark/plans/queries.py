@@ -6,7 +6,6 @@ The table ``events`` is the change log: key user_id (as text bytes), seq event_i
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import bloom, codec
 from ..operators import log as ops
 from ..operators import pages, workload
+from ..runtime import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,7 +108,7 @@ def kv_merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four runs in one order; places by partition counts."""
     log = events(spark, sf_dir)
     runs = [log.filter(F.col("seq") % 4 == k) for k in range(4)]
-    merged = ops.append(*runs).withColumn("down", -F.col("seq")).withColumnRenamed("seq", "was")
+    merged = ops.merge(*runs).withColumn("down", -F.col("seq")).withColumnRenamed("seq", "was")
     return ops.assign_seq(merged, ["key", "down"]).select(text("key"), F.col("was").alias("seq"), F.col("op").cast("int").alias("op"), F.col("seq").alias("place"))
 
 
@@ -203,13 +203,78 @@ def kv_sparse_index_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, off AS page_offset FROM customer ASOF LEFT JOIN picked ON CAST(c_custkey AS VARCHAR) >= first_key""")
 def kv_seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each probe key the last page that begins at or before it (here a page is five keys)."""
-    from pyspark.sql import Window
+    keys = ops.assign_seq(ops.latest(events(spark, sf_dir)).select("key"), ["key"]).withColumnRenamed("seq", "offset")
+    index = keys.filter("offset % 5 = 0").select(F.lit(1).alias("run"), "key", "offset")
+    return pages.seek_pages(index, _probes(spark, sf_dir)).select(F.col("key").cast("string").cast("long").alias("c_custkey"), F.col("offset").alias("page_offset"))
 
-    keys = ops.latest(events(spark, sf_dir)).select("key")
-    n = F.row_number().over(Window.orderBy("key")).cast("long") - 1
-    index = keys.withColumn("offset", n).filter("offset % 5 = 0").select(F.lit(1).alias("run"), "key", "offset")
-    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit(1).alias("run"), F.col("c_custkey").cast("string").cast("binary").alias("key"))
-    return pages.seek_pages(index, probes).select(F.col("key").cast("string").cast("long").alias("c_custkey"), F.col("offset").alias("page_offset"))
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit(1).alias("run"), F.col("c_custkey").cast("string").cast("binary").alias("key"))
+
+
+@query(f"""{_pages_sql(_SIZED[5:], "s.fresh").rpartition("SELECT s.key")[0]}, page(first_key, off) AS (SELECT s.key, CAST(s.off AS BIGINT) FROM s JOIN starts USING (i))
+SELECT c_custkey, off AS page_offset FROM customer ASOF LEFT JOIN page ON CAST(c_custkey AS VARCHAR) >= first_key""")
+def kv_page_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the sparse index of a flushed run."""
+    index = pages.sparse_index(pages.pages(events(spark, sf_dir).withColumn("run", F.lit(1)), "run"))
+    return pages.seek_pages(index, _probes(spark, sf_dir)).select(F.col("key").cast("string").cast("long").alias("c_custkey"), F.col("offset").alias("page_offset"))
+
+
+@query(f"""{LATEST}, numbered AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n FROM latest), file AS (SELECT key AS first_key, n // 7 + 1 AS sst_id FROM numbered WHERE n % 7 = 0)
+SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key, sst_id FROM customer ASOF LEFT JOIN file ON CAST(c_custkey AS VARCHAR) >= first_key""")
+def kv_l1_file_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each probe key the level-1 file that may hold it; a file has seven keys here."""
+    keys = ops.assign_seq(ops.latest(events(spark, sf_dir)).select("key"), ["key"])
+    files = keys.filter("seq % 7 = 0").select((F.floor(F.col("seq") / 7) + 1).alias("sst_id"), F.col("key").alias("first_key"))
+    return pages.seek_files(files, _probes(spark, sf_dir).select("key")).select(text("key"), "sst_id")
+
+
+@query("""WITH RECURSIVE sized AS (SELECT o_orderkey, printf('%012d', o_orderkey) AS key, 16 + 12 + strlen(o_orderpriority) AS size FROM orders WHERE o_orderstatus <> 'F'),
+s AS (SELECT *, row_number() OVER (ORDER BY key) AS i, coalesce(sum(size) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sized),
+starts(i, off) AS (SELECT i, off FROM s WHERE i = 1 UNION ALL SELECT n.i, n.off FROM (SELECT s.i, s.off, row_number() OVER (ORDER BY s.i) AS r FROM starts, s WHERE s.off - starts.off >= 4096) n WHERE r = 1)
+SELECT s.key, CAST(s.off AS BIGINT) AS page_offset FROM s JOIN starts USING (i)""")
+def kv_sparse_index_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a compacted run of many pages: orders by key, a finished one deleted."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    log = ops.as_log(orders.select(F.format_string("%012d", "o_orderkey").alias("key"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("op"), F.col("o_orderpriority").alias("value")))
+    paged = pages.pages(ops.snapshot(log).withColumn("run", F.lit(1)), "run", unique=True)
+    return pages.sparse_index(paged).select(text("key"), F.col("offset").alias("page_offset"))
+
+
+_OFFSETS = "CAST(sum({0}) OVER (ORDER BY {1}) - ({0}) AS BIGINT) AS start_off, CAST(sum({0}) OVER (ORDER BY {1}) AS BIGINT) AS end_off"
+
+
+def _wal_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = events(spark, sf_dir)
+    return pages.offsets(log, codec.log_size(F.col("key"), F.col("value")), ["seq"], ["seq"])
+
+
+@query(f"{LOG} SELECT seq, {_OFFSETS.format('17 + strlen(key) + strlen(value)', 'seq')} FROM log")
+def kv_wal_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record of the log file begins and ends."""
+    return _wal_offsets(spark, sf_dir).select("seq", F.col("begin").alias("start_off"), F.col("end").alias("end_off"))
+
+
+@query(f"{LOG}, cut AS (SELECT *, {_OFFSETS.format('17 + strlen(key) + strlen(value)', 'seq')} FROM log) SELECT key, seq, op, value FROM cut WHERE end_off <= 100000")
+def kv_wal_replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a replay finds in a log file that was cut after 100,000 bytes: whole records only."""
+    return _wal_offsets(spark, sf_dir).filter("`end` <= 100000").select(text("key"), "seq", F.col("op").cast("int").alias("op"), text("value"))
+
+
+@query(f"{LOG} SELECT key, seq, {_OFFSETS.format('16 + strlen(key) + strlen(value)', 'key, seq DESC')} FROM log")
+def kv_sst_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each record of a flushed run begins and ends."""
+    log = events(spark, sf_dir)
+    placed = pages.offsets(log, codec.table_size(F.col("key"), F.col("value")), ["key"], ["key", F.desc("seq")])
+    return placed.select(text("key"), "seq", F.col("begin").alias("start_off"), F.col("end").alias("end_off"))
+
+
+@query(f"{LATEST} SELECT min(key) AS key, 2 AS status, '' AS value FROM latest WHERE op = 0")
+def kv_point_get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least deleted key: its status tells it from one that never was, its value doesn't."""
+    log = events(spark, sf_dir)
+    probe = ops.deleted(log).agg(F.min("key").alias("key"))
+    return ops.multi_get(log, probe).select(text("key"), F.col("status").cast("int").alias("status"), text("value"))
 
 
 # codec
@@ -325,8 +390,7 @@ def kv_correctness_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
 @query(f"{LATEST} SELECT key, value FROM latest WHERE op = 1")
@@ -344,6 +408,21 @@ def kv_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Table.open(spark, path).snapshot().select(text("key"), text("value"))
 
 
+@query(f"""{LOG}, old AS (SELECT key, max(seq) AS seq, arg_max(op, seq) AS op FROM log WHERE seq % 5 < 4 GROUP BY key),
+run AS (SELECT 1 AS level, key FROM old WHERE op = 1 UNION ALL SELECT 0, key FROM log WHERE seq % 5 = 4)
+SELECT level, 0 AS ord, count(*) AS n_rows, min(key) AS first_key, max(key) AS last_key FROM run GROUP BY level""")
+def kv_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest as a relation, after five flushes: four runs compacted into one of level 1, and one run of level 0."""
+    from ..store import Table
+
+    path, log = scratch(spark), events(spark, sf_dir)
+    with Table.open(spark, path) as table:
+        for k in range(5):
+            table.load(log.filter(F.col("seq") % 5 == k))
+    found = Table.open(spark, path, read_only=True).runs()
+    return found.select("level", F.col("ord"), "n_rows", text("first_key"), text("last_key"))
+
+
 @query(f"{LATEST} SELECT key, value FROM latest WHERE op = 1")
 def kv_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through Structured Streaming: micro-batches become runs, runs are compacted."""

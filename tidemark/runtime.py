@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,27 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own, gone with
+    the driver: a local one if there is one machine only, else one in the warehouse, which all machines share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not found:
+        found = getattr(context, "_tidemark_dir", None)
+    if not found:
+        if context.master.startswith("local[") or context.master == "local":
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = f"file://{folder}"
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+        context._tidemark_dir = found
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder of spark.checkpoint.dir (one of our own where that is unset), with
-    its partitions and their order."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not getattr(spark.sparkContext, "_tidemark_checkpoints", None):
-        spark.sparkContext._tidemark_checkpoints = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(spark.sparkContext._tidemark_checkpoints)
+    """``df``, computed once and kept in the shared folder, with its partitions and their order."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

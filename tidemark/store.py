@@ -194,6 +194,17 @@ class Table:
             if len(self.manifest.levels[0]) >= COMPACT_AT:
                 self.compact()
 
+    def load(self, log: DataFrame) -> None:
+        """Log rows (key, seq, op, value) that have their numbers already, as a level-0 run."""
+        self._begin()
+        self.flush()
+        runs, new = self._publish(ops.as_log(log)), deepcopy(self.manifest)
+        new.levels[0] += runs
+        new.next_seq = max([new.next_seq, *(r.max_seq + 1 for r in runs)])
+        self._save(new)
+        if len(self.manifest.levels[0]) >= COMPACT_AT:
+            self.compact()
+
     def ingest(self, batch: DataFrame, batch_id: int, stream: str, order: list[str]) -> None:
         """One micro-batch (key, op, value) as a level-0 run; a batch that was seen before changes nothing."""
         self._begin()
@@ -308,6 +319,14 @@ class Table:
     def snapshot(self) -> DataFrame:
         return ops.snapshot(self.log())
 
+    def runs(self) -> DataFrame:
+        """level, ord, sst_id, n_rows, first_key, last_key and max_seq of each run, as the manifest has them."""
+        self._check()
+        if self.read_only:
+            self.manifest = self._load()
+        rows = [(k, i, r.sst_id, r.rows, bytes.fromhex(r.low), bytes.fromhex(r.high), r.max_seq) for k, level in enumerate(self.manifest.levels) for i, r in enumerate(level)]
+        return self.spark.createDataFrame(rows, "level int, ord int, sst_id long, n_rows long, first_key binary, last_key binary, max_seq long")
+
     def manifest_frame(self) -> DataFrame:
         """level, ord and sst_id of each run."""
         rows = [(k, i, r.sst_id) for k, level in enumerate(self.manifest.levels) for i, r in enumerate(level)]
