@@ -156,6 +156,50 @@ def test_language_id(spark):
     assert langid.predict(df, langid.train(empty(spark))).filter("lang_pred != 'und'").count() == 0
 
 
+def test_language_id_by_brute_force(spark):
+    """Vectors and distances spelled out with dictionaries, against the same centroids."""
+    import math
+
+    from tidemark.llm.common import FAR, STEP
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def vector(text, idf):
+        if not any(c.isalpha() for c in text):
+            return None
+        plain = " " + re.sub(r"\x00+", " ", "".join(c if c.isalpha() else "\x00" for c in text.lower())) + " "
+        plain = plain if text.lower()[:1].isalpha() else " " + plain[1:]
+        count = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                h = sum(ord(c) * int(STEP[n - 1 - k]) for k, c in enumerate(plain[i : i + n]))
+                count[mix(h + (int(FAR) if n == 1 else n * int(FAR)) & mask) % langid.DIMS] += 1
+        v = {k: math.log1p(n) * float(idf[k]) for k, n in count.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()}
+
+    rng = random.Random(17)
+    vocab = {"en": ["the", "of", "and", "thing", "whole"], "de": ["der", "und", "schön", "straße", "nicht"], "el": ["και", "στον", "λόγος"]}
+    rows = [(", ".join(rng.choices(vocab[k], k=rng.randint(1, 30))), k) for k in vocab for _ in range(30)]
+    texts = [*(t for t, _ in rows), *(t for t in ODD if t), "mixed und the και 42 λόγος"]
+    df = docs(spark, texts, [*(k for _, k in rows), *(None,) * (len(texts) - len(rows))])
+    model = langid.train(df.select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, text in enumerate(texts):
+        v = vector(text, model.idf)
+        if v is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cos = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        assert got[i].score == pytest.approx(max(0.0, max(cos)), abs=1e-4)
+        assert max(c for c, name in zip(cos, model.languages, strict=True) if name == got[i].lang_pred) >= max(cos) - 1e-4
+
+
 def test_language_id_learns_every_language(spark):
     rng = random.Random(13)
     rows = []
@@ -181,6 +225,45 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels.limit(0))).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores spelled out word by word, and of several labels or texts of one doc_id a defined one."""
+    import math
+
+    from tidemark.llm.common import BYTE, FAR, PLACE
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def buckets(text):
+        out = []
+        for word in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+            h = sum(int(BYTE[b]) * (int(PLACE[k & 255]) + int(FAR) * (k >> 8)) for k, b in enumerate(word))
+            out.append(mix(h + len(word) * int(FAR) & mask))
+            padded = b" " + word + b" "
+            for n in (3, 4, 5):
+                for i in range(len(padded) - n + 1):
+                    out.append(mix(sum(int(BYTE[b]) * int(PLACE[k]) for k, b in enumerate(padded[i : i + n])) + n * int(FAR) & mask))
+        return [h % toxicity.BUCKETS for h in out]
+
+    rng = random.Random(18)
+    words = ["quiet", "river", "Stone", "schön", "horrible", "x"]
+    texts = [*(" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(60)), *(t for t in ODD if t)]
+    labels = spark.createDataFrame([(i, int("horrible" in t)) for i, t in enumerate(texts[:60])], "doc_id long, toxic int")
+    df = docs(spark, texts)
+    model = toxicity.train(df, labels)
+    for r in toxicity.score(df, model).collect():
+        own = buckets(texts[r.doc_id])
+        z = model.bias + (sum(float(model.weight[k]) for k in own) / len(own) if own else 0.0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4), texts[r.doc_id]
+    assert np.array_equal(toxicity.train(df.unionByName(df), labels.unionByName(labels)).weight, model.weight)
+    clash = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.train(df, clash).score(texts[0].encode() and np.frombuffer(texts[0].encode(), np.uint8)) > 0.5
+
+
 # packing
 
 
@@ -237,6 +320,24 @@ def test_pack(spark):
             end += length
         assert end <= 128
     assert packing.pack(empty(spark), path).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (7, "a b"), (7, "a b"), (7, "c")], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in packing.pack(odd, path).collect()) == ["7", "7", "7", "None", "None"]
+
+
+def test_pack_by_another_tokenizer(spark):
+    """Whose rules don't let chunks of text stand alone."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path) as f:
+        assert type(packing.ids_of(f.read())) is packing.WholeIds
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        assert type(packing.ids_of(f.read())) is packing.WordIds
+    texts, tokenizer = [*ODD, "Hello, World. Two  spaces\n\nand UPPER case"], Tokenizer.from_file(path)
+    for r in packing.pack(docs(spark, texts), path, length=100_000).collect():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 # sharding

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared_dir, ship
 
 #: Rows and bytes of an Arrow batch; texts can be long, so a batch holds few of them.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -34,15 +33,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tidemark_dir", None)
-    if not found:
-        found = spark._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder, to cut lineage; a lost executor costs no more than a re-read.
 
@@ -52,6 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        made(spark).append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -62,10 +53,23 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def clear(self) -> None:
+        """Deletes all tables."""
+        self.drop("")
+
+
+def made(spark: SparkSession) -> list[Scratch]:
+    """All scratch folders of this Spark context, in the order they were made."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_scratch"):
+        context._tidemark_scratch = []
+    return context._tidemark_scratch
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
     gc.collect()

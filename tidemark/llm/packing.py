@@ -11,6 +11,8 @@ their length on the executors, and look up their place there.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import unicodedata
 import zlib
 from array import array
@@ -73,11 +75,46 @@ BYTES = [chr(b) if b in _SHOWN else chr(256 + sum(c not in _SHOWN for c in range
 LATIN = "\u0530"
 
 
+#: The rules under which chunks of text may be encoded one by one: lower case, words apart, no white space.
+WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+class WholeIds:
+    """Ids of whole texts, as little-endian uint32, by any tokenizer."""
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        self.tokenizer = tokenizer
+
+    def text(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+def ids_of(tokenizer_json: str) -> WholeIds | WordIds:
+    from tokenizers import Tokenizer
+
+    rules, tokenizer = json.loads(tokenizer_json), Tokenizer.from_str(tokenizer_json)
+    plain = all(rules.get(k) == v for k, v in WORD_RULES.items()) and rules["model"]["type"] == "BPE" and not rules["model"].get("dropout")
+    added = rules.get("added_tokens") or []
+    if plain and not any(re.search(r"[\s]", t["content"]) or t["content"].isalpha() or t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in added):
+        return WordIds(tokenizer)
+    return WholeIds(tokenizer)
+
+
 class WordIds(dict):
     """Memo of space-separated chunks of text to their ids, as little-endian uint32.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in turn. Where
-    plain rules allow, a chunk is looked up by its lower case and without a closing comma or full stop.
+    Under WORD_RULES the tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in
+    turn. Where these rules allow, a chunk is looked up by its lower case and without a closing comma or full stop.
     """
 
     def __init__(self, tokenizer) -> None:  # noqa: ANN001
@@ -109,7 +146,7 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_IDS: dict[str, WordIds] = {}
+_IDS: dict[str, WholeIds | WordIds] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
@@ -120,12 +157,10 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         key = str(hash(shared.value))
         if key not in _IDS:
             _IDS.clear()
-            _IDS[key] = WordIds(Tokenizer.from_str(shared.value))
+            _IDS[key] = ids_of(shared.value)
         own = _IDS[key]
         for batch in batches:
             rows = []
@@ -142,8 +177,9 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int =
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with their sequence_id and offset.
 
-    Repeated rows are packed each by itself; ties in length are broken by doc_id and piece; an empty table gives an
-    empty result.
+    Repeated rows, and rows with a null doc_id, are packed each by itself; ties in length are broken the same way at each
+    run; an empty table gives an empty result. Other columns are ignored. Any tokenizer file will do: whole texts are
+    encoded, or chunks of them where the file's rules say that this is the same.
     """
     with open(tokenizer_path) as f:
         tokenizer_json = f.read()

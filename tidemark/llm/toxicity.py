@@ -95,19 +95,18 @@ def fit(rows: list[tuple[int, bytes, bytes]], seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows a class, picked by a hash of doc_id. docs: doc_id, text; labels: doc_id,
-    toxic. Executors reduce whole texts to counts of buckets; the driver gets a bounded number of bounded vectors."""
-    from pyspark.sql.window import Window
+    """Fit on at most ``sample`` documents a class, those with the least hashes of doc_id. docs: doc_id, text; labels:
+    doc_id, toxic.
 
-    labels = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    Of labels that differ for one doc_id the toxic one holds; a doc_id on several texts counts as one document, by the least
+    of them. Executors reduce whole texts to counts of buckets; the driver gets a bounded number of bounded vectors.
+    """
+    labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit"))
-    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    chance = F.lit(0.0)
-    for k, n in sizes.items():
-        chance = F.when(F.col("toxic") == k, 2.0 * sample / n + 20 / n).otherwise(chance)
-    labels = labels.filter(F.pmod(place, F.lit(1 << 30)) / float(1 << 30) < chance)
-    labels = labels.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(place, "doc_id"))).filter(F.col("_n") <= sample)
-    picked = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(labels.select("doc_id", "toxic")), "doc_id")  # 2 x sample rows at most
+    # each task sends its least ones only
+    least = [labels.filter(F.col("toxic") == k).orderBy(place, "doc_id").limit(sample) for k in (0, 1)]
+    picked = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(least[0].unionByName(least[1])), "doc_id")  # 2 x sample rows at most
+    picked = picked.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1) of every row; null and empty texts score by the bias alone."""
+    """doc_id (null ones too) and score (0 to 1) of every row; null and empty texts score by the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
