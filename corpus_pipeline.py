@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, table
+from tidemark.llm.common import Scratch, made, table
 from tidemark.llm.ngram_join import one_of_each
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import DEMO_KEY, anonymise
@@ -54,9 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
-    for k, (name, stage) in enumerate(STAGES):
+    """All stages; each one's result is written before the next begins, and what it left behind is deleted then."""
+    docs, scratch, last = table(spark, sf_dir, "documents"), Scratch(spark), None
+    for name, stage in STAGES:
+        before = len(made(spark))
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        if k:
-            scratch.drop(STAGES[k - 1][0])
+        while len(made(spark)) > before:
+            made(spark).pop().clear()
+        if last:
+            scratch.drop(last)
+        last = name
     return docs
