@@ -289,12 +289,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame | None:
         parts = scratch.keep(_hash_parts(docs, shared, length), f"parts-{k}")
         firsts = scratch.keep(_firsts(parts), f"firsts-{k}")
         # fragments with a hash that others share, and those that may repeat a string by themselves (periodic text)
-        mixed = firsts.groupBy("h").agg(F.count("*").alias("n")).join(again, "h", "left").filter((F.col("n") > 1) | F.col("again")).select("h", "n")
-        mixed = scratch.keep(firsts.join(mixed, "h").select("h", "doc", "aux", "n"), f"mixed-{k}")
+        counts = firsts.groupBy("h").agg(F.count("*").alias("n")).join(again, "h", "left").filter((F.col("n") > 1) | F.col("again")).select("h", "n")
+        # written first: in one stage with the count, the join of a hash with all its fragments could not be split
+        counts = scratch.keep(counts, f"counts-{k}")
+        mixed = scratch.keep(firsts.join(counts, "h").select("h", "doc", "aux", "n"), f"mixed-{k}")
         plain, large = (mixed.filter(F.col("n") <= GROUP), mixed.filter(F.col("n") > GROUP)) if after else (mixed, None)
         size = plain.agg(F.sum(F.col("aux").bitwiseAND(0xFFFFF) + length)).first()[0] or 0
         found[-1:] = [scratch.keep(found[-1].unionByName(_later(parts, firsts)), f"later-{k}")]
-        scratch.drop("told", "first", *(f"{name}-{k}" for name in ("shared", "again", "parts", "firsts")))
+        scratch.drop("told", "first", *(f"{name}-{k}" for name in ("shared", "again", "parts", "firsts", "counts")))
         found.append(scratch.keep(_sort_shards(docs, plain, max(partitions(spark), size // SHARD + 1), length), f"sorted-{k}"))
         if large is None or large.isEmpty():
             break
