@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import embed_dedup, ngram_join, suffix_dedup
+from tidemark.llm import embed_dedup, induced_sort, ngram_join, suffix_dedup
 from tidemark.llm.induced_sort import InducedSort
 
 WORDS = ["the", "of", "and", "ra", "thiné", "ono", "ly", "Est", "mi", "co"]
@@ -186,32 +186,34 @@ def test_suffix_dedup_odd_ids(spark):
 
 
 def test_induced_sort_beyond_memory(monkeypatch):
-    """Arrays and queues on disk; what is held at once is a small part of the text."""
+    """Arrays and queues on disk, names sorted by recursion; less than the text is held at once."""
     import tracemalloc
 
-    from tidemark.llm import induced_sort
-
     monkeypatch.setattr(induced_sort, "BLOCK", 1 << 11)
     rng = random.Random(20)
     vocab = [prose(rng, 1) for _ in range(3000)]
-    text = np.frombuffer(b"\0".join(" ".join(rng.choices(vocab, k=300)).encode() for _ in range(4000)) + b"\0", np.uint8)
+    text = np.frombuffer(b"\0".join(" ".join(rng.choices(vocab, k=300)).encode() for _ in range(800)) + b"\0", np.uint8)
     tracemalloc.start()
     total = sum(len(at) for at, _ in InducedSort(text, 100, 1 << 16, 1 << 11).sorted())
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert total == len(text) - 4000 and peak < len(text), (peak, len(text))
+    assert total == len(text) - 800 and peak < len(text), (peak, len(text))
 
 
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize(("memory", "block"), [(1, 3), (300, 7), (1 << 20, 1 << 16)])
-def test_induced_sort(memory, block):
+@pytest.mark.parametrize(("memory", "block", "width", "look"), [(1, 3, 4096, 4096), (300, 7, 4096, 2), (3000, 1 << 16, 1, 4096), (3000, 50, 3, 5), (1 << 20, 1 << 16, 4096, 4096)])
+def test_induced_sort(monkeypatch, memory, block, width, look):
+    """Down to one suffix a range, names with a queue of their own, all levels by recursion; and doubling in memory."""
+    monkeypatch.setattr(induced_sort, "WIDTH", width)
+    monkeypatch.setattr(induced_sort, "LOOK", look)
     rng = random.Random(5)
-    for _ in range(60):
+    for _ in range(15):
         letters, cap = rng.choice([1, 2, 3, 26]), rng.choice([3, 10, 100])
-        parts = [bytes(rng.choice(range(1, 1 + letters)) for _ in range(rng.randint(1, rng.choice([3, 40])))) for _ in range(rng.randint(1, 8))]
+        parts = [bytes(rng.choice(range(1, 1 + letters)) for _ in range(rng.randint(1, rng.choice([3, 40, 300])))) for _ in range(rng.randint(1, 8))]
+        parts += [parts[0], parts[-1] * 3]
         text = b"\0".join(parts) + b"\0"
         got = [(int(p), int(n)) for at, common in InducedSort(np.frombuffer(text, np.uint8), cap, memory, block).sorted() for p, n in zip(at, common, strict=True)]
         suffix = lambda p: text[p : text.index(0, p)]  # noqa: B023, E731

@@ -32,8 +32,8 @@ from .repeated import repeated
 
 LENGTH = 100
 #: Strings that are hashed at once; distinct fragments of a hash from which they are dealt out by longer grams; bytes of a
-#: shard, about; bytes that a shard's sort keeps in memory.
-STRETCH, GROUP, SHARD, MEMORY = 1 << 16, 2048, 4 << 20, 64 << 20
+#: shard, about, so that its names seldom need a recursion; bytes that each part of a shard's sort keeps in memory.
+STRETCH, GROUP, SHARD, MEMORY = 1 << 16, 2048, 3 << 20, 64 << 20
 #: In aux, on the way to ``shared`` only: a fragment that may repeat a string by itself.
 AGAIN = 1 << 19
 BASE = np.uint64(0xD6E8FEB86659FD93)
