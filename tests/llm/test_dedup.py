@@ -273,3 +273,26 @@ def test_visits_meet_all_within_reach():
         near = {(a, b) for a in range(300) for b in range(a + 1, 300) if ((q[a] - q[b]) ** 2).sum() <= 400}
         assert near <= set(met) and len(met) == len(set(met))
         assert len(row) <= 300 * (1 + 3 * depth)
+
+
+def test_workers_give_memory_back(spark):
+    """Spark keeps idle Python workers; what a task took must not stay with them."""
+    import pyarrow as pa
+
+    from tidemark.llm.repeated import repeated
+
+    def held(batches):
+        list(batches)
+        with open("/proc/self/smaps_rollup") as f:
+            yield pa.RecordBatch.from_arrays([pa.array([int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) >> 10])], ["mb"])
+
+    def entries(batch):
+        for i in batch.column(0).to_pylist():
+            rng = np.random.default_rng(i)
+            for _ in range(8):
+                yield rng.integers(0, 2**63, 1 << 14, np.uint64), np.arange(1 << 14), np.arange(1 << 14)
+
+    most = lambda: max(r.mb for r in spark.range(0, 8, 1, 4).mapInArrow(held, "mb long").collect())
+    before = most()
+    assert repeated(spark.range(0, 64, 1, 4), entries).count() == 0
+    assert most() < before + 60

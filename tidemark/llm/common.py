@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,31 @@ def ranked(df: DataFrame, key: str, order: list[str], unique: bool = False) -> D
     return steps.withColumn("_copy", F.explode(copies)).select(*columns, (F.col("_rank") + F.col("_copy")).alias("_rank"))
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system; the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(run: Run) -> Run:
+    """``run``, a partition's function, which hands its memory back when it is through. Spark keeps idle workers for the tasks
+    to come, and what each of them once took would count beside the executor's heap from then on."""
+
+    @wraps(run)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return through
+
+
 def utf8(text: str = "text") -> F.Column:
     """The text's UTF-8 bytes; a null text has none."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))

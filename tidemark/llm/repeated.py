@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, tune
+from .common import lean, partitions, tune
 
 #: Entries that a task sorts at once.
 RUN = 1 << 20
@@ -96,7 +96,7 @@ def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[Entri
         for part in np.array_split(at, len(at) // 100_000 + 1):
             yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(ids[part]), pa.array(aux[part])], ["key", "id", "aux"])
 
-    return rows.mapInArrow(send, _BLOCK).repartition(n_buckets // 4, "bucket").mapInArrow(meet, SCHEMA)
+    return rows.mapInArrow(lean(send), _BLOCK).repartition(n_buckets // 4, "bucket").mapInArrow(lean(meet), SCHEMA)
 
 
 def split_heavy(rows: DataFrame, heavy: DataFrame, keys: list[str], id_: str, limit: int) -> DataFrame:

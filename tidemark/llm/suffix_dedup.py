@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.log import assign_seq
-from .common import BYTE, Scratch, blobs, mix, partitions, table, tune, utf8
+from .common import BYTE, Scratch, blobs, give_back, lean, mix, partitions, table, tune, utf8
 from .induced_sort import Arrays, InducedSort, spill_dir
 from .repeated import repeated
 
@@ -137,7 +137,7 @@ def _hash_parts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 key, doc_, span = (np.concatenate(c) for c in (keys, docs_, spans))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, f[:, 0].copy(), f[:, 1].copy(), doc_, span)], ["h", "f1", "f2", "doc", "aux"])
 
-    return _with_texts(docs, wanted).mapInArrow(run, "h long, f1 long, f2 long, doc long, aux long")
+    return _with_texts(docs, wanted).mapInArrow(lean(run), "h long, f1 long, f2 long, doc long, aux long")
 
 
 def _refined(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _refined(docs: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFra
                     key, first, count, again = fragments(x[start : start + n + length - 1], length, k)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), doc, np.int64)), pa.array(_pack(first + start, count)), pa.array(again)], ["h", "doc", "aux", "again"])
 
-    return _with_texts(docs, wanted).mapInArrow(run, "h long, doc long, aux long, again boolean")
+    return _with_texts(docs, wanted).mapInArrow(lean(run), "h long, doc long, aux long, again boolean")
 
 
 def _firsts(parts: DataFrame) -> DataFrame:
@@ -232,6 +232,7 @@ def _sort_shards(docs: DataFrame, wanted: DataFrame, n_shards: int, length: int)
                         if folder:
                             yield from own.strings()
                             folder.cleanup()
+                            give_back()
                         folder, at = tempfile.TemporaryDirectory(prefix="shard-", dir=spill_dir()), shard
                         own = Shard(folder.name, length, MEMORY)
                     own.add(doc, start, part)
@@ -241,8 +242,8 @@ def _sort_shards(docs: DataFrame, wanted: DataFrame, n_shards: int, length: int)
             if folder:
                 folder.cleanup()
 
-    rows = _with_texts(docs, wanted).mapInArrow(cut, "shard int, doc long, start long, part binary")
-    return rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "doc", "start").mapInArrow(sort, "doc long, aux long")
+    rows = _with_texts(docs, wanted).mapInArrow(lean(cut), "shard int, doc long, start long, part binary")
+    return rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "doc", "start").mapInArrow(lean(sort), "doc long, aux long")
 
 
 def _levels(length: int) -> list[int]:
