@@ -502,3 +502,22 @@ def test_pipeline(spark, tmp_path):
     last = {tuple(sorted(r.asDict().items())) for r in docs_.collect()}
     assert {dict(r)["doc_id"] for r in last} == set(kept[3])
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(last)
+
+
+def test_pack_gives_memory_back(spark):
+    """Idle workers keep neither the tokenizer nor the memo of a task."""
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def held(batches):
+        list(batches)
+        with open("/proc/self/smaps_rollup") as f:
+            yield pa.RecordBatch.from_arrays([pa.array([int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) >> 10])], ["mb"])
+
+    most = lambda: max(r.mb for r in spark.range(0, 8, 1, 4).mapInArrow(held, "mb long").collect())
+    docs = spark.range(0, 8, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(40_000)), lambda i: F.sha1((F.col("id") * 100_000 + i).cast("string")))).alias("text"))
+    before = most()
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        assert packing.pieces(docs, f.read()).count() > 8
+    assert most() < before + 60, before

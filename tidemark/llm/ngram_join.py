@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, blobs, shingle_hashes, table, tune, utf8, word_hashes
+from .common import LOWER, Scratch, blobs, lean, shingle_hashes, table, tune, utf8, word_hashes
 from .components import components
 from .repeated import repeated, split_heavy
 
@@ -147,7 +147,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
         if n:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, digest binary, counts binary")
+    return docs.mapInArrow(lean(run), "kind int, doc_id long, n long, digest binary, counts binary")
 
 
 def _prefixes(late: np.ndarray, level: np.ndarray, words: int, percent: int):  # noqa: ANN202
@@ -192,7 +192,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 ok.append(len(np.intersect1d(s, t, assume_unique=True)) >= least)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _search(rows: DataFrame, key: list[str], percent: int, first: bool) -> DataFrame:
@@ -235,7 +235,7 @@ def _search(rows: DataFrame, key: list[str], percent: int, first: bool) -> DataF
             a, b = (np.concatenate([f[k] for f in found] or [doc[:0]]) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame | None:

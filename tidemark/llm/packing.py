@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked, table, tune
+from .common import Scratch, lean, ranked, table, tune
 
 LENGTH = 2048
 MEMO_ENTRIES, MEMO_LENGTH = 800_000, 64
@@ -146,9 +146,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_IDS: dict[str, WholeIds | WordIds] = {}
-
-
 def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every row's ids, closed by ``end_id`` and cut only if longer than
     ``length``. A null text is empty, and has one piece with the closing id."""
@@ -157,11 +154,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = str(hash(shared.value))
-        if key not in _IDS:
-            _IDS.clear()
-            _IDS[key] = ids_of(shared.value)
-        own = _IDS[key]
+        own = ids_of(shared.value)  # gone with the task: a worker's copy of a global is, too, but only after ``lean``
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -171,7 +164,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 0, length: int =
                     rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LENGTH) -> DataFrame:
@@ -200,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = LE
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])], [*names, "sequence_id", "offset"])
 
-    return ranked(cut, "length", ["doc_id", "piece", "ids_crc32"]).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(cut, "length", ["doc_id", "piece", "ids_crc32"]).mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
