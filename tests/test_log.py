@@ -200,6 +200,19 @@ def test_bloom(spark):
     assert bytes(bloom.union(halves, ["g"]).first()["filter"]) == formats.build_bloom([b"a", b"b"])
 
 
+def test_bloom_probe(spark):
+    """Probes meet the words they ask for; no row holds a filter, which would be copied for every probe."""
+    keys = spark.createDataFrame([(run, f"{run}-{i}".encode()) for run in (1, 2) for i in range(300 * run)] + [(3, b"")], "run int, key binary")
+    probes = spark.createDataFrame([(run, f"{a}-{i}".encode()) for run in (1, 2, 3, 4) for a in (1, 2, 5) for i in range(400)] * 2, "run int, key binary")
+    filters = {run: formats.build_bloom([bytes(r.key) for r in keys.filter(f"run = {run}").collect()]) for run in (1, 2, 3)} | {4: b""}
+    asked = bloom.probe(probes, keys, ["run"])
+    got = {(r.run, bytes(r.key)): r.may for r in asked.collect()}
+    assert got == {(r.run, bytes(r.key)): formats.may_contain(filters[r.run], bytes(r.key)) for r in probes.collect()} and asked.count() == len(got)
+    assert {r.may for r in bloom.probe(probes.select("key"), keys.limit(0).select("key"), []).collect()} == {False}
+    asked = QUERIES["kv_bloom_probe"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_workload(spark):
     for name, (read, erase) in workload.SCENARIOS.items():
         counts = {r.action: r["count"] for r in workload.operations(spark, name).groupBy("action").count().collect()}

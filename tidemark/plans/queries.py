@@ -348,9 +348,8 @@ _PROBE = "(SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key FROM customer)"
 @query(f"""{_BITS} SELECT p.key, (SELECT count(*) FROM bits WHERE bit IN ({", ".join(f"p.h{i} % (SELECT n_bits FROM n)" for i in range(3))})) = len(list_distinct([{", ".join(f"p.h{i} % (SELECT n_bits FROM n)" for i in range(3))}])) AS may
 FROM (SELECT key, {", ".join(f"{_HASH(s)} AS h{i}" for i, s in enumerate(bloom.SEEDS))} FROM {_PROBE}) p""")
 def kv_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = bloom.build(events(spark, sf_dir).select(F.lit(1).alias("run"), "key"), ["run"])
-    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").cast("binary").alias("key"), F.lit(1).alias("run")).distinct()
-    return probes.join(built, "run").select(text("key"), bloom.may_contain(F.col("filter"), F.col("key")).alias("may"))
+    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").cast("binary").alias("key"))
+    return bloom.probe(probes, events(spark, sf_dir).select("key"), []).select(text("key"), "may")
 
 
 # workloads
