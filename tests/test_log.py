@@ -213,6 +213,26 @@ def test_bloom_probe(spark):
     assert "collect_list" not in asked._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_bloom_build_parts(spark, monkeypatch):
+    """A filter's bytes are put together by words and parts, missing ones as zeros, and never looked up one by one."""
+    none = spark.createDataFrame([], "key binary")
+    assert [(r.n_bits, bytes(r.filter)) for r in bloom.build(none, []).collect()] == [(64, bytes(8))]
+    keys = [f"key{i}".encode() for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "key binary")
+    built = bloom.build(df, [])
+    assert bytes(built.first()["filter"]) == formats.build_bloom(keys)
+    assert "element_at" not in built._jdf.queryExecution().optimizedPlan().toString()
+    for part in (1, 16, 1024):
+        monkeypatch.setattr(bloom, "PART", part)
+        for per_key in (1, 10, 7777):
+            monkeypatch.setattr(bloom, "BITS_PER_KEY", per_key)
+            for some in (keys[:1], keys[:9], keys[:40]):
+                want = bytearray(-(-max(per_key * len(some), 64) // 8))
+                for bit in (formats.bloom_hash(k, s) % (8 * len(want)) for k in some for s in bloom.SEEDS):
+                    want[bit // 8] |= 1 << bit % 8
+                assert bytes(bloom.build(df.filter(F.col("key").isin(some)), []).first()["filter"]) == want
+
+
 def test_workload(spark):
     for name, (read, erase) in workload.SCENARIOS.items():
         counts = {r.action: r["count"] for r in workload.operations(spark, name).groupBy("action").count().collect()}

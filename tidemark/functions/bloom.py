@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Prime of the hash step, seeds of the three hashes, bits a key, least bits of a filter.
 PRIME, SEEDS, BITS_PER_KEY, LEAST_BITS = 0x01000193, (0x12345678, 0x87654321, 0xABCDEF01), 10, 64
-#: Bits of a word of a filter.
-WORD = 64
+#: Bits of a word, and words (a power of two) of a part of a filter that is put together by itself.
+WORD, PART = 64, 1024
 
 
 def bloom_hash(key: Column, seed: int) -> Column:
@@ -49,18 +49,30 @@ def _words(distinct: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame
     return bits.groupBy(*group, "n_bits", "at").agg(F.bit_or("mask").alias("word"))
 
 
+def _digits(entries: Column, before: Column, size: int, digits) -> Column:  # noqa: ANN001
+    """``digits`` of sorted entries (at, ...) one after the other, zeros for those that are missing after ``before``."""
+
+    def padded(x: Column, i: Column) -> Column:
+        missing = x["at"] - F.coalesce(F.get(entries, i - 1)["at"], before) - 1
+        return F.concat(F.repeat(F.lit("0"), (missing * size).cast("int")), digits(x))
+
+    return F.array_join(F.transform(entries, padded), "")
+
+
 def build(keys: DataFrame, group: list[str]) -> DataFrame:
     """One filter a group of distinct keys: the group, n_bits and filter (bytes).
 
-    Bits meet in partial aggregates: a byte's bits are or-ed on the way, never gathered as rows of a group.
+    Bits meet in partial aggregates: a word's bits are or-ed on the way, never gathered as rows of a group. Words are put
+    together by parts, and only these as a whole filter; both by one walk over what is sorted, without lookups.
     """
-    distinct = keys.select(*group, "key").distinct()
-    sizes = distinct.groupBy(*group).agg(filter_bits(F.count("*")).alias("n_bits"))
-    bits = distinct.join(sizes, group).select(*group, "n_bits", F.explode(positions(F.col("key"), F.col("n_bits"))).alias("bit"))
-    by_byte = bits.groupBy(*group, "n_bits", F.floor(F.col("bit") / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))).alias("byte"))
-    spread = by_byte.groupBy(*group, "n_bits").agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("bytes"))
-    hexes = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("n_bits") / 8).cast("long") - 1), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("bytes", i), F.lit(0))), 2, "0"))
-    return spread.select(*group, "n_bits", F.unhex(F.array_join(hexes, "")).alias("filter"))
+    words = _words(*_sized(keys, group), group)
+    digits = WORD // 4
+    parts = words.groupBy(*group, "n_bits", F.shiftright("at", PART.bit_length() - 1).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("words"))
+    written = _digits(F.col("words"), F.col("part") * PART - 1, digits, lambda x: F.lpad(F.hex(x["word"]), digits, "0"))
+    parts = parts.select(*group, "n_bits", F.struct(F.col("part").alias("at"), F.rpad(written, PART * digits, "0").alias("digits")).alias("part"))
+    whole = parts.groupBy(*group, "n_bits").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = _digits(F.col("parts"), F.lit(-1), PART * digits, lambda x: x["digits"])
+    return whole.select(*group, "n_bits", F.unhex(F.rpad(joined, (F.col("n_bits") / 4).cast("int"), F.lit("0"))).alias("filter"))
 
 
 def probe(probes: DataFrame, keys: DataFrame, group: list[str]) -> DataFrame:

@@ -338,7 +338,7 @@ by_byte AS (SELECT bit // 8 AS at, CAST(sum(1 << (bit % 8)) AS BIGINT) AS byte F
 
 @query(f"{_BITS} SELECT CAST(n_bits AS BIGINT) AS n_bits, string_agg(printf('%02X', coalesce(byte, 0)), '' ORDER BY g.at) AS filter FROM n, (SELECT unnest(range(0, n_bits // 8)) AS at FROM n) g LEFT JOIN by_byte ON by_byte.at = g.at GROUP BY n_bits")
 def kv_bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = bloom.build(events(spark, sf_dir).select(F.lit(1).alias("run"), "key"), ["run"])
+    built = bloom.build(events(spark, sf_dir).select("key"), [])
     return built.select("n_bits", F.hex("filter").alias("filter"))
 
 
