@@ -1,7 +1,11 @@
 """Tables, files and streams: the cases a storage engine has to survive."""
 
+import itertools
 import os
+import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +237,62 @@ def test_sources(spark, tmp_path):
         assert not [n for n in os.listdir(path) if n.endswith(".tmp")]
 
 
+def test_writing_task_is_bounded(tmp_path, monkeypatch):
+    """A writing or reading task holds as much of a large log as of a small one, and a table file all versions of a key."""
+    monkeypatch.setattr(binary, "_CHUNK", 100_000)
+    monkeypatch.setattr(binary, "_FILE", 50_000)
+    monkeypatch.setattr(binary, "_FAN", 3)
+    monkeypatch.setattr(binary, "_BYTES", 50_000)
+
+    def order(r):
+        return r[0], -r[1]
+
+    def batches(rows):
+        for at in range(0, len(rows), 100):
+            some = rows[at : at + 100]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int8(), pa.binary()))], ["key", "seq", "op", "value"])
+
+    source = {"kvsst": binary.TableFormat, "kvwal": binary.LogFormat}
+    for kind, shape in itertools.product(source, ("sorted", "reversed", "shuffled")):
+        peaks = []
+        for n in (3000, 12000):
+            rows = sorted(((f"k{i * 7 % (n // 3):06d}".encode(), i, 1, b"v" * 300) for i in range(n)), key=order)
+            rows.append((b"k999999", n, 1, b"last"))
+            if shape == "reversed":
+                rows.reverse()
+            elif shape == "shuffled":
+                random.Random(5).shuffle(rows)
+            form = source[kind]({"path": f"{tmp_path}/{kind}-{shape}-{n}"})
+            writer = form.writer(None, False)
+            tracemalloc.start()
+            written = writer.write(batches(rows))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            writer.commit([None, written])
+            names = sorted(os.listdir(writer.path))
+            assert names == [f"{i + 1:06d}{form.suffix}" for i in range(len(names))] and len(names) > 5
+            reader = form.reader(None)
+            found = [[r for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns))] for p in reader.partitions()]
+            assert list(itertools.chain(*found)) == (sorted(rows, key=order) if kind == "kvsst" else rows)
+            if kind == "kvsst":
+                for records, name in zip(found, names):
+                    with open(f"{writer.path}/{name}", "rb") as f:
+                        assert f.read() == formats.encode_table(records)
+                assert all(a[-1][0] < b[0][0] for a, b in zip(found, found[1:]))
+            largest = max(os.path.getsize(f"{writer.path}/{name}") for name in names)
+            assert largest < 80_000
+        assert peaks[1] < 1.3 * peaks[0] and peaks[1] < 2_500_000, (kind, shape, peaks)
+    again = binary.TableFormat({"path": f"{tmp_path}/failed"}).writer(None, False)
+
+    def fails():
+        yield from batches(rows)
+        raise OSError
+
+    with pytest.raises(OSError):
+        again.write(fails())
+    assert not os.listdir(again.path)
+
+
 def test_stream(spark, tmp_path):
     rows = [(i % 7, i, i % 5 > 0, f"v{i}") for i in range(60)]
     schema = "k int, i long, put boolean, v string"
